@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arraysail.llm import decontamination, near_dedup, pieces, quality_classifier, quality_rules
+from arraysail.llm import decontamination, near_dedup, pieces, quality_classifier, quality_rules, token_counts, toxicity
 from arraysail.llm._common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op7_sentencepiece, op8_quality_classifier, op9_decontamination, op10_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op6_token_counts, op7_sentencepiece, op8_quality_classifier, op9_decontamination, op10_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
