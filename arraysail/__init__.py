@@ -1,3 +1,5 @@
-"""arraysail: labelled numerical arrays and training-text pipelines on Spark DataFrames."""
+"""Labelled numerical arrays (samples by features with named coordinates) as Spark DataFrames."""
 
-__version__ = "0.1.0"
+from arraysail.session import session
+
+__all__ = ["session"]
