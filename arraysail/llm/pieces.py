@@ -26,7 +26,6 @@ from arraysail.llm import _common as C
 
 MODEL = os.environ.get("ARRAYSAIL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "\u2581"
-_CUT = re.compile(f"{SPACE}+[^{SPACE}\n\t\r]*|[^{SPACE}\n\t\r]+|[\n\t\r]").findall
 #: Stretches that are held at most, and indexed at once.
 MOST_HELD, AT_ONCE = 300_000, 15_000
 
@@ -200,6 +199,10 @@ class Encoder:
         self.model = Model(path)
         self.pairs = Pairs(self.model)
         self.local = np.zeros(0x110000, np.int64)
+        # white space that is in no longer piece stands alone; no piece has a space after another character
+        alone = "".join(c for c in "\n\t\r" if not any(c in t for t in self.model.id if len(t) > 1))
+        assert not any(SPACE in t.lstrip(SPACE) for t in self.model.id)
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.clear()
 
     def clear(self):
@@ -292,7 +295,7 @@ class Encoder:
         """(all ids, how many each text has)."""
         if len(self.at) > MOST_HELD:
             self.clear()
-        cut = [_CUT(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self.cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set()
         for c in cut:
             new.update(c)
