@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,35 @@ def slices(texts, chars: int = 2_000_000):
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array, size: int = 4_000_000):
+    """(first, last, texts) ranges of a column of about ``size`` bytes each, nulls as empty texts.
+
+    A batch is never all Python strings at once, and what a slice needed goes
+    back to the system before the next one.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield start, stop, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+        _trim()
+
+
+def by_slices(column: pa.Array, f, size: int = 4_000_000) -> list:
+    """``f`` of the texts of each slice, all results in one list."""
+    return [x for _, _, texts in text_slices(column, size) for x in f(texts)]
+
+
+def _trim() -> None:
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
+
+
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

@@ -16,6 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from arraysail.llm import _common as C
 #: Words of a test phrase; shorter items are one phrase, those under LEAST_WORDS are too common to mean anything.
 PHRASE, LEAST_WORDS = 8, 4
 SAMPLE = 8
-SHARD_CHARS = 16_000_000
+SHARD_BYTES = 8_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -201,14 +202,14 @@ def shard_spans(texts: list[str], vocabulary: dict[str, int], by_length: dict[in
 
 
 def _finder(spark: SparkSession, items: list[str | None]):
-    """A function from texts to their spans; the test phrases are a fixed set, so they are broadcast."""
+    """A function from a column of texts to their spans; the test phrases are a fixed set, so they are broadcast."""
     shared = spark.sparkContext.broadcast(phrases(items))
 
-    def find(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
-        out = {}
-        for i, j in C.slices(texts, SHARD_CHARS):
-            out |= {i + k: v for k, v in shard_spans(texts[i:j], *shared.value).items()}
-        return out
+    def find(column: pa.Array):
+        """(index, text, spans) of the texts that hold a phrase; a slice of the column is a shard."""
+        for i, _, texts in C.text_slices(column, SHARD_BYTES):
+            for k, spans in sorted(shard_spans(texts, *shared.value).items()):
+                yield i + k, texts[k], spans
 
     return find
 
@@ -235,14 +236,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
     def f(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            spans = find(texts)
-            at = sorted(spans)
+            found = list(find(b.column(1)))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(at, pa.int64())),
-                pa.array([[{"start": x, "end": y} for x, y in spans[i]] for i in at], kind),
-                pa.array([without(texts[i], spans[i]) for i in at], pa.string()),
+                b.column(0).take(pa.array([i for i, _, _ in found], pa.int64())),
+                pa.array([[{"start": x, "end": y} for x, y in spans] for _, _, spans in found], kind),
+                pa.array([without(text, spans) for _, text, spans in found], pa.string()),
             ], names=["doc_id", "spans", "cleaned"])
 
     return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, spans array<struct<start: int, end: int>>, cleaned string")
@@ -261,10 +260,12 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     find = _finder(spark, _items(benchmark))
 
     def f(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        for i, spans in find([t or "" for t in texts]).items():
-            texts[i] = without(texts[i], spans)
-        return pa.array(texts, pa.string())
+        new = {i: without(t, spans) for i, t, spans in find(text)}
+        if not new:
+            return text
+        at = np.zeros(len(text), bool)
+        at[list(new)] = True
+        return pc.replace_with_mask(text, pa.array(at), pa.array([new[i] for i in sorted(new)], text.type))
 
     new = C.fresh(docs, "text")
     out = docs.withColumn(new, F.arrow_udf(f, "string").asNondeterministic()(docs["text"]))

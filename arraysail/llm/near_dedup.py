@@ -90,7 +90,7 @@ def fingerprints(texts: list[str], bits: int) -> np.ndarray:
 
 def _fingerprint(bits: int):
     def f(text: pa.Array) -> pa.Array:
-        words = fingerprints([t or "" for t in text.to_pylist()], bits)
+        words = C.by_slices(text, lambda texts: fingerprints(texts, bits))
         return pa.array([None if w[0] < 0 else w.tolist() for w in words], pa.list_(pa.int64()))
 
     return F.arrow_udf(f, "array<long>").asNondeterministic()

@@ -330,12 +330,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         e = encoder(model)
         decode = e.model.decode
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in C.slices(texts):
-                ids, n = e.encode(texts[i:j])
+            for i, j, texts in C.text_slices(b.column(1), 2_000_000):
+                ids, n = e.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 every = ids.tolist()
-                same = [decode(every[a:z]) == t for a, z, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts[i:j])]
+                same = [decode(every[a:z]) == t for a, z, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts)]
                 del every
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(i, j - i),

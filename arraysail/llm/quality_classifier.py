@@ -47,9 +47,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _counts(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        texts, good = [t or "" for t in b.column(0).to_pylist()], np.array([x == 1 for x in b.column(1).to_pylist()], bool)
-        for i, j in C.slices(texts):
-            bucket, row, _ = ngrams(texts[i:j])
+        good = np.array([x == 1 for x in b.column(1).to_pylist()], bool)
+        for i, j, texts in C.text_slices(b.column(0), 2_000_000):
+            bucket, row, _ = ngrams(texts)
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[good[i:j][row]], minlength=BUCKETS)
     at = np.flatnonzero(raw)
@@ -87,7 +87,7 @@ def scorer(spark: SparkSession, ratio: np.ndarray):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(score_texts([t or "" for t in text.to_pylist()], shared.value))
+        return pa.array(C.by_slices(text, lambda texts: score_texts(texts, shared.value)), pa.float64())
 
     return score.asNondeterministic()
 

@@ -68,7 +68,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _statistics(text: pa.Array) -> pa.Array:
-    return pa.array([statistics(t or "") for t in text.to_pylist()], pa.list_(pa.float64()))
+    return pa.array(C.by_slices(text, lambda texts: map(statistics, texts)), pa.list_(pa.float64()))
 
 
 def with_statistics(docs: DataFrame, name: str = "x") -> DataFrame:

@@ -90,6 +90,6 @@ def counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataF
 
     def f(text: pa.Array) -> pa.Array:
         count = counter(ranks, pattern).count
-        return pa.array([count(t) if t else 0 for t in text.to_pylist()], pa.int64())
+        return pa.array(C.by_slices(text, lambda texts: [count(t) if t else 0 for t in texts]), pa.int64())
 
     return docs.select("doc_id", F.arrow_udf(f, "long").asNondeterministic()("text").alias("n_tokens"))
