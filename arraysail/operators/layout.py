@@ -80,7 +80,7 @@ def relabel(df: DataFrame, names: dict[str, str] | None = None, constants: dict[
 
 def swap(df: DataFrame, a: str, b: str) -> DataFrame:
     """Transposes long form (PRJ03)."""
-    return df.withColumnsRenamed({a: b, b: a})
+    return df.select(*[F.col(c).alias({a: b, b: a}.get(c, c)) for c in df.columns])
 
 
 def upper_triangle(pairs: DataFrame, i: str = "i", j: str = "j", k: int = 1) -> DataFrame:
