@@ -59,33 +59,51 @@ def _guard(df: DataFrame, value: str, nan_policy: str) -> DataFrame:
     return df
 
 
+#: Groups whose statistics are broadcast at most.
+MOST_GROUPS = 1_000_000
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], few_groups: bool = False) -> DataFrame:
+    """Adds plain aggregates of the keys to every row.
+
+    By a window as a rule: one shuffle, but a group is in one task. With
+    ``few_groups`` they are aggregated, which combines before the shuffle and so
+    bears hot keys, and joined back: by broadcast up to ``MOST_GROUPS`` groups,
+    which are counted, beyond that as the planner chooses.
+    """
+    if not few_groups:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({k: e.over(w) for k, e in stats.items()})
+    names = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    g = df.groupBy(*keys).agg(*[e.alias(k) for k, e in stats.items()]).withColumnsRenamed(names)
+    if g.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS:
+        g = F.broadcast(g)
+    return df.join(g, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], "left").drop(*names.values())
+
+
 def _mean(value: str, nan_policy: str) -> Column:
     v = F.col(value).cast("double")
     return F.avg(F.when(~F.isnan(v), v)) if nan_policy == "omit" else F.avg(v)
 
 
-def center(df: DataFrame, keys: Sequence[str], value: str = "value", nan_policy: str = "propagate", out: str | None = None) -> DataFrame:
+def center(df: DataFrame, keys: Sequence[str], value: str = "value", nan_policy: str = "propagate", out: str | None = None, few_groups: bool = False) -> DataFrame:
     """Values less the mean of their keys (WIN04)."""
-    w = Window.partitionBy(*keys)
-    return _guard(df, value, nan_policy).withColumn(out or value, F.col(value) - _mean(value, nan_policy).over(w))
+    df = with_group_stats(_guard(df, value, nan_policy), keys, {"__m": _mean(value, nan_policy)}, few_groups)
+    return df.withColumn(out or value, F.col(value) - F.col("__m")).drop("__m")
 
 
-def z_score(df: DataFrame, keys: Sequence[str], value: str = "value", correction: int = 1, nan_policy: str = "propagate", out: str | None = None) -> DataFrame:
+def z_score(df: DataFrame, keys: Sequence[str], value: str = "value", correction: int = 1, nan_policy: str = "propagate", out: str | None = None, few_groups: bool = False) -> DataFrame:
     """Standard scores within keys (WIN03, WIN05).
 
     With ``omit`` the mean skips NaN, but the divisor counts them, as the
     system does whose results these match. No spread gives null.
     """
-    w = Window.partitionBy(*keys)
-    df = _guard(df, value, nan_policy)
-    mean, v = _mean(value, nan_policy).over(w), F.col(value).cast("double")
-    if nan_policy == "omit":
-        df = df.withColumn("__m", mean)
-        d = F.when(~F.isnan(v), (v - F.col("__m")) * (v - F.col("__m")))
-        sd = F.sqrt(F.sum(d).over(w) / F.nullif(F.count(F.lit(1)).over(w) - correction, F.lit(0)))
-        return df.withColumn(out or value, (v - F.col("__m")) / F.nullif(sd, F.lit(0.0))).drop("__m")
-    sd = F.stddev_samp(v).over(w) if correction == 1 else F.stddev_pop(v).over(w) if correction == 0 else F.sqrt(F.var_pop(v).over(w) * F.count(v).over(w) / F.nullif(F.count(v).over(w) - correction, F.lit(0)))
-    return df.withColumn(out or value, (v - mean) / F.nullif(sd, F.lit(0.0)))
+    v = F.col(value).cast("double")
+    df = with_group_stats(_guard(df, value, nan_policy), keys, {"__m": _mean(value, nan_policy), "__n": F.count(F.lit(1)) if nan_policy == "omit" else F.count(v)}, few_groups)
+    d = v - F.col("__m")
+    df = with_group_stats(df, keys, {"__s": F.sum(F.when(~F.isnan(v), d * d) if nan_policy == "omit" else d * d)}, few_groups)
+    sd = F.sqrt(F.col("__s") / F.nullif(F.col("__n") - correction, F.lit(0)))
+    return df.withColumn(out or value, (v - F.col("__m")) / F.nullif(sd, F.lit(0.0))).drop("__m", "__n", "__s")
 
 
 def scale_by(df: DataFrame, keys: Sequence[str], value: str, divisor: float, zscore: bool = True, out: str | None = None) -> DataFrame:
@@ -127,10 +145,10 @@ def group_offset(df: DataFrame, group: str, order: str, offset: float, value: st
     Only the groups are ranked, not the rows.
     """
     first = df.groupBy(group).agg(F.min(order).alias("__first"))
-    ranked = first.withColumn("__r", F.row_number().over(Window.orderBy("__first", group)) - 1)
-    n = first.agg(F.count("*").alias("__g"))
-    ranked = ranked.crossJoin(n).select(group, ((F.col("__r") - (F.col("__g") - 1) / 2) * F.lit(float(offset))).alias("__o"))
-    df = df.join(ranked, df[group].eqNullSafe(ranked[group]), "left").drop(ranked[group])
+    n = first.count()
+    place = F.row_number().over(Window.orderBy("__first", group)) - 1
+    ranked = first.select(F.col(group).alias("__g"), ((place - (n - 1) / 2) * F.lit(float(offset))).alias("__o"))
+    df = df.join(F.broadcast(ranked) if n <= MOST_GROUPS else ranked, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
     shift = F.col("__o") if value is None else F.col(value) * (1 + F.col("__o")) if multiply else F.col(value) + F.col("__o")
     return df.withColumn(out, shift).drop("__o")
 

@@ -77,6 +77,10 @@ def test_z_score_and_policies(spark, correction):
     assert W.center(df, ["k"], nan_policy="raise").count() == 10
     with pytest.raises(ValueError):
         W.center(df, ["k"], nan_policy="other")
+    two = df.union(spark.createDataFrame([(None, 1.0), (None, 4.0)], "k int, value double"))
+    for f in (lambda **k: W.z_score(two, ["k"], correction=correction, **k), lambda **k: W.center(two, ["k"], **k)):
+        a, b = ([r["value"] for r in f(few_groups=x).orderBy("k", "value").collect()] for x in (False, True))
+        assert a == pytest.approx(b) and len(a) == 12  # the same by a window and by a join, null keys included
     one = spark.createDataFrame([(1, 5.0)], "k int, value double")
     assert W.z_score(one, ["k"], correction=correction).collect()[0]["value"] is None
 
