@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import os.path
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +18,43 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def global_position(df: DataFrame, key: Column | str, name: str = "pos", ties: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
+#: Pieces that a table is cut into at most to number its rows.
+MOST_PIECES = 4096
+
+
+def _pieces(df: DataFrame, key: str, piece: str) -> DataFrame:
+    """``df`` with a number or text in ``piece`` that never falls as ``key`` rises, for pieces of about equal size."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind == "string":
+        # the first characters after those that all keys share
+        low, high = df.agg(F.min(key), F.max(key)).first()
+        same = len(os.path.commonprefix([low, high])) if low is not None else 0
+        return df.withColumn(piece, F.coalesce(F.substring(key, 1, same + 3), F.lit("")))
+    x = F.col(key).cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col(key).cast("double")
+    df = df.withColumn("__x", x)
+    n = min(MOST_PIECES, max(2, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    bounds = df.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = sorted({b for b in bounds if math.isfinite(b)})
+    if not bounds:
+        return df.drop("__x").withColumn(piece, F.when(F.col(key).isNull(), 0).otherwise(1))
+    # binary search in the JVM; NaN goes last, as it sorts
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__x", outputCol="__b", handleInvalid="keep").transform(df)
+    return cut.withColumn(piece, F.when(F.col(key).isNull(), -1.0).otherwise(F.col("__b"))).drop("__x", "__b")
+
+
+def global_position(df: DataFrame, key: Column | str, name: str = "pos", ties: Sequence[str] = ()) -> DataFrame:
     """The 0-based place of each row in the order of ``key`` and ``ties``, exactly, without a single-partition window.
 
-    Numeric and time keys are cut at approximate quantiles, strings by their
-    first characters; rows are numbered inside the pieces and the sizes of the
-    pieces before are added. Nulls come first.
+    Numeric and time keys are cut at approximate quantiles, strings by the
+    first characters that tell them apart; rows are numbered inside the pieces
+    and the sizes of the pieces before are added. Nulls come first, NaN last.
+    Rows of one key value are in one piece.
     """
-    probe = df.select(_column(key).alias("__k"))
-    kind = probe.schema[0].dataType.simpleString()
-    df = df.withColumn("__k", _column(key))
-    if kind == "string":
-        piece = F.coalesce(F.substring("__k", 1, 3), F.lit(""))
-    else:
-        as_number = F.col("__k").cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col("__k").cast("double")
-        pieces = pieces or max(2, 4 * df.sparkSession.sparkContext.defaultParallelism)
-        bounds = probe.select(as_number.alias("x")).agg(F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
-        bounds = sorted(set(bounds))
-        piece = F.when(F.col("__k").isNull(), -1).otherwise(sum((F.when(as_number > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)))
-    df = df.withColumn("__p", piece)
+    df = _pieces(df.withColumn("__k", _column(key)), "__k", "__p")
     sizes = df.groupBy("__p").agg(F.count("*").alias("__n"))
+    # a row for each piece
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("__p").orderBy("__k", *ties)) - 1
-    # a row for each piece: a few hundred, or as many as there are first characters
     return df.withColumn("__i", place).join(before.select("__p", "__before"), "__p").withColumn(name, (F.col("__i") + F.col("__before")).cast("long")).drop("__k", "__p", "__i", "__before")
 
 

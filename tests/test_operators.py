@@ -130,7 +130,13 @@ def test_positions_with_ties_nulls_and_types(spark):
     for key, k in (("f", 1), ("t", 2), ("s", 3)):
         got = [r["id"] for r in W.global_position(df, key, "pos", ["id"]).orderBy("pos").collect()]
         assert got == [r[0] for r in sorted(rows, key=lambda r: (r[k] is not None, r[k] or 0, r[0]) if k != 3 else (r[3], r[0]))]
-    assert W.global_position(df.limit(0), "f", "pos", ["id"]).count() == 0
+    assert W.global_position(df.limit(0), "f", "pos", ["id"]).count() == 0 and W.global_position(df.limit(0), "s", "pos", ["id"]).count() == 0
+    odd = spark.createDataFrame([(0, NAN), (1, float("inf")), (2, None), (3, -1.0), (4, float("-inf")), (5, NAN)], "id int, f double")
+    assert [r["id"] for r in W.global_position(odd, "f", "pos", ["id"]).orderBy("pos").collect()] == [2, 4, 3, 1, 0, 5]
+    same = spark.createDataFrame([(i, f"a long common beginning {i % 50:03d}", 1.0) for i in range(100)], "id int, s string, c double")
+    pieces = W._pieces(same, "s", "p")
+    assert pieces.select("p").distinct().count() == 50
+    assert [r["id"] for r in W.global_position(same, "c", "pos", ["id"]).orderBy("pos").collect()] == list(range(100))
 
 
 def test_sliding_mean_against_numpy(spark):
