@@ -331,8 +331,13 @@ def extract(sources: list[str], trees: Trees | None) -> list[tuple[str, int, int
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = SEED) -> Trees | None:
     """Trees fitted on at most ``max_pages`` pages that mark their main text, picked by a hash of the id."""
     marked = pages.where(F.lower("html").rlike("<(article|main)[\\s>]|role=.?main"))
-    rows = marked.select("page_id", "html").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id", F.xxhash64("html")).limit(max_pages)
-    return train([r["html"] for r in rows.select("html").collect()])
+    key = F.struct(F.xxhash64("page_id", F.lit(seed)), F.xxhash64("html"))
+    # the bound of the sample comes first, so that no task sends more pages than are in it
+    last = marked.select(key.alias("k")).distinct().orderBy("k").limit(max_pages).agg(F.max("k.col1").alias("a"), F.max_by("k.col2", "k").alias("b")).first()
+    if last["a"] is None:
+        return None
+    rows = marked.select(key.alias("k"), "html").where((F.col("k.col1") < last["a"]) | (F.col("k.col1") == last["a"]) & (F.col("k.col2") <= last["b"]))
+    return train([r["html"] for r in rows.groupBy("k").agg(F.min("html").alias("html")).orderBy("k").collect()])
 
 
 def main_text(spark: SparkSession, pages: DataFrame, **parameters) -> DataFrame:
