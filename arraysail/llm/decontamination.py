@@ -143,8 +143,8 @@ class FMIndex:
         return self.value[self.place[at]] + steps
 
 
-def shard_spans(texts: list[str], vocabulary: dict[str, int], by_length: dict[int, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
-    """Merged character spans of the test phrases, by index of the text; texts without one are left out."""
+def shard_hits(texts: list[str], vocabulary: dict[str, int], by_length: dict[int, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
+    """Ranges of words that are a test phrase, by index of the text; texts without one are left out."""
     if not by_length or not texts:
         return {}
     least = min(by_length)
@@ -187,42 +187,72 @@ def shard_spans(texts: list[str], vocabulary: dict[str, int], by_length: dict[in
     out: dict[int, list[tuple[int, int]]] = {}
     doc = np.searchsorted(ends, first, side="right")
     for d in np.unique(doc):
-        words_at = [m.span() for m in _WORD.finditer(fold(texts[d]))]
-        begin = int(ends[d] - n[d])
-        mine = doc == d
-        spans: list[list[int]] = []
-        for i, j in sorted(zip((first[mine] - begin).tolist(), (last[mine] - begin).tolist())):
-            a, b = words_at[i][0], words_at[j - 1][1]
-            if spans and i <= spans[-1][2]:
-                spans[-1][1:] = [max(spans[-1][1], b), max(spans[-1][2], j)]
-            else:
-                spans.append([a, b, j])
-        out[int(d)] = [(a, b) for a, b, _ in spans]
+        begin, mine = int(ends[d] - n[d]), doc == d
+        out[int(d)] = list(zip((first[mine] - begin).tolist(), (last[mine] - begin).tolist()))
     return out
 
 
-def _finder(spark: SparkSession, items: list[str | None]):
-    """A function from a column of texts to their spans; the test phrases are a fixed set, so they are broadcast."""
-    shared = spark.sparkContext.broadcast(phrases(items))
+def merged(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character spans of ranges of words; ranges that overlap or follow one another are one span."""
+    words_at = [m.span() for m in _WORD.finditer(fold(text))]
+    spans: list[list[int]] = []
+    for i, j in sorted(hits):
+        if spans and i <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], j)
+        else:
+            spans.append([i, j])
+    return [(words_at[i][0], words_at[j - 1][1]) for i, j in spans]
 
-    def find(column: pa.Array):
-        """(index, text, spans) of the texts that hold a phrase; a slice of the column is a shard."""
-        for i, _, texts in C.text_slices(column, SHARD_BYTES):
-            for k, spans in sorted(shard_spans(texts, *shared.value).items()):
-                yield i + k, texts[k], spans
 
-    return find
+def shard_spans(texts: list[str], parts) -> dict[int, list[tuple[int, int]]]:
+    """Merged character spans by index of the text, over parts (vocabulary, phrases by length) of the benchmark."""
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for vocabulary, by_length in parts:
+        for d, found in shard_hits(texts, vocabulary, by_length).items():
+            hits.setdefault(d, []).extend(found)
+    return {d: merged(texts[d], hits[d]) for d in sorted(hits)}
+
+
+#: Characters of test items whose phrases are held at once, by the driver and by a task.
+PART_CHARS = 4_000_000
+
+
+class _Parts:
+    """The phrases of the benchmark in broadcast parts of bounded size, of which a task holds one at a time."""
 
+    def __init__(self, spark: SparkSession, benchmark: DataFrame):
+        self.parts, items, size = [], [], 0
+        for (text,) in benchmark.select("text").toLocalIterator():
+            items.append(text)
+            size += len(text or "")
+            if size >= PART_CHARS:
+                self._add(spark, items)
+                items, size = [], 0
+        self._add(spark, items)
 
-#: The test items are held by every task; beyond this many characters they would have to be split.
-MOST_ITEM_CHARS = 200_000_000
+    def _add(self, spark: SparkSession, items: list[str | None]) -> None:
+        part = phrases(items)
+        if part[1]:
+            self.parts.append(spark.sparkContext.broadcast(part))
 
+    def __iter__(self):
+        for b in self.parts:
+            yield b.value
+            if len(self.parts) > 1:
+                b.__dict__.pop("_value", None)  # read again from the local copy when it is needed
 
-def _items(benchmark: DataFrame) -> list[str | None]:
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MOST_ITEM_CHARS:
-        raise ValueError(f"{size} characters of test items; split the benchmark and run once for each part")
-    return [r[0] for r in benchmark.select("text").collect()]
+
+def _finder(spark: SparkSession, benchmark: DataFrame):
+    """A function from a column of texts to (index, text, spans) of those that hold a phrase; a slice of the column is a shard."""
+    parts = _Parts(spark, benchmark)
+
+    def find(column: pa.Array):
+        if parts.parts:
+            for i, _, texts in C.text_slices(column, SHARD_BYTES):
+                for k, spans in shard_spans(texts, parts).items():
+                    yield i + k, texts[k], spans
+
+    return find
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -232,7 +262,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     ``LEAST_WORDS`` words are ignored. Repeated rows give a row each. Whole
     texts are searched; other columns are ignored. Empty tables give an empty result.
     """
-    find = _finder(spark, _items(benchmark))
+    find = _finder(spark, benchmark)
 
     def f(batches):
         for b in batches:
@@ -257,7 +287,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the spans taken out of ``text`` and ``n_chars`` counted anew where it is there; rows without a hit are unchanged."""
-    find = _finder(spark, _items(benchmark))
+    find = _finder(spark, benchmark)
 
     def f(text: pa.Array) -> pa.Array:
         new = {i: without(t, spans) for i, t, spans in find(text)}

@@ -3,7 +3,6 @@ import re
 
 import common
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,7 +36,8 @@ WORDS = st.sampled_from(["a", "b", "c", "d", "Über", "x1"])
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(WORDS, max_size=40).map(" ".join), max_size=4), st.lists(st.lists(WORDS, max_size=14).map("  ".join), max_size=3))
 def test_spans_match_a_plain_search(texts, items):
-    got = D.shard_spans(texts, *D.phrases(items))
+    got = D.shard_spans(texts, [D.phrases(items)])
+    assert got == D.shard_spans(texts, [D.phrases([i]) for i in items])
     assert [got.get(i, []) for i in range(len(texts))] == [_naive(t, items) for t in texts]
 
 
@@ -90,7 +90,11 @@ def test_edges(spark, edge):
     assert {r["text"] for r in cleaned.where("doc_id = 100").collect()} == {None}
     assert D.contaminated(spark, edge, common.empty(bench)).count() == 0
     assert D.contaminated(spark, common.empty(edge), bench).count() == 0 and D.clean(spark, common.empty(edge), bench).count() == 0
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(D, "MOST_ITEM_CHARS", 10)
-        with pytest.raises(ValueError):
-            D.contaminated(spark, edge, bench)
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
+    docs, bench = common.table(spark, "documents"), common.table(spark, "benchmark")
+    plain = lambda: sorted((r["doc_id"], r["spans"], r["cleaned"]) for r in D.contaminated(spark, docs, bench).collect())
+    whole = plain()
+    monkeypatch.setattr(D, "PART_CHARS", 300)
+    assert len(D._Parts(spark, bench).parts) > 2 and plain() == whole
