@@ -152,3 +152,25 @@ def linear_cka(x: DataFrame, y: DataFrame, sample: str, feature: str = "feature"
     a, b, c = crossed(x, y), crossed(x, x), crossed(y, y)
     joined = a.select(F.col("s").alias("xy")).crossJoin(b.select(F.col("s").alias("xx"))).crossJoin(c.select(F.col("s").alias("yy")))
     return joined.select((F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("cka"))
+
+
+def centred_kernel(k: DataFrame, i: str = "i", j: str = "j", value: str = "value") -> DataFrame:
+    """(i, j, value) of a full symmetric kernel table less its row and column means, plus its grand mean."""
+    means = k.groupBy(i).agg(F.avg(value).alias("__m"))
+    grand = means.agg(F.avg("__m").alias("__g"))
+    a, b = means.select(i, F.col("__m").alias("__a")), means.select(F.col(i).alias(j), F.col("__m").alias("__b"))
+    centred = F.col(value) - F.col("__a") - F.col("__b") + F.col("__g")
+    return k.join(a, i).join(b, j).crossJoin(grand).select(i, j, centred.alias(value))
+
+
+def hsic(kx: DataFrame, ky: DataFrame, i: str = "i", j: str = "j", value: str = "value") -> DataFrame:
+    """(hsic) of two kernel tables over the same items, tr(KxH KyH) / (n - 1)^2 (AGG13); any kernel will do, but it has a row for each pair."""
+    both = centred_kernel(kx, i, j, value).withColumnRenamed(value, "__x").join(centred_kernel(ky, i, j, value).withColumnRenamed(value, "__y"), [i, j])
+    n = F.sqrt(F.count("*"))
+    return both.agg((F.sum(F.col("__x") * F.col("__y")) / F.nullif((n - 1) * (n - 1), F.lit(0.0))).alias("hsic"))
+
+
+def cka(kx: DataFrame, ky: DataFrame, i: str = "i", j: str = "j", value: str = "value") -> DataFrame:
+    """(cka) of two kernel tables."""
+    a, b, c = (hsic(p, q, i, j, value).withColumnRenamed("hsic", n) for p, q, n in ((kx, ky, "__xy"), (kx, kx, "__xx"), (ky, ky, "__yy")))
+    return a.crossJoin(b).crossJoin(c).select((F.col("__xy") / F.nullif(F.sqrt("__xx") * F.sqrt("__yy"), F.lit(0.0))).alias("cka"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arraysail.functions import filters as G
 from arraysail.functions import scalar as S
 from arraysail.operators import aggregates as A
 from arraysail.operators import joins as J
@@ -732,6 +733,20 @@ def ridge_gcv(t, spark):
     return R.RidgeGCV().fit(_two(t), "x", "y").predict(_two(t)).select("vec_id", "prediction")
 
 
+@query(f"""WITH g AS (SELECT CAST(curvature AS DOUBLE) AS curvature, 2 * pi() * k / 8 AS theta, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, r - 4 AS x, 4 - c AS y FROM (VALUES (0.0), (0.1)) v(curvature), range(0, 8) a(k), range(0, 9) b(r), range(0, 9) d(c)),
+b AS (SELECT *, x * cos(theta) + y * sin(theta) + curvature * (y * cos(theta) - x * sin(theta)) ** 2 AS bent, (y * cos(theta) - x * sin(theta)) / 5 AS across FROM g),
+f AS (SELECT *, exp(-(bent ** 2 + across ** 2) * CAST(1.2 AS DOUBLE) ** 2 / 2) * (cos(CAST(1.2 AS DOUBLE) * bent) - exp(-0.5::DOUBLE)) AS v FROM b)
+SELECT curvature, {r("theta")} AS theta, "row", col, {r("v - avg(v) OVER (PARTITION BY curvature, theta)")} AS value FROM f""")
+def curved_filters(t, spark):
+    return rr(G.curved_filters(spark, 8, (0.0, 0.1)).select("curvature", "theta", "row", "col", "value"), "theta", "value")
+
+
+@query(f"""WITH u AS (SELECT CAST(o AS INTEGER) AS output, CAST(i AS INTEGER) AS input, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, ('0x' || md5('27-' || o || '-' || i || '-' || r || '-' || c)[1:8])::BIGINT / 4294967296.0::DOUBLE AS v
+FROM range(0, 4) a(o), range(0, 3) b(i), range(0, 5) d(r), range(0, 5) e(c)) SELECT output, input, "row", col, {r("v - avg(v) OVER (PARTITION BY output, input)")} AS value FROM u""")
+def random_filters(t, spark):
+    return rr(G.random_filters(spark, 4, 3, 5), "value")
+
+
 # ---- catalogue and flows
 
 

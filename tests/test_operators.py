@@ -208,6 +208,18 @@ def test_cka_of_a_rotation_is_one(spark):
     assert A.linear_cka(make(x), make(x @ q * 3), "id").first()["cka"] == pytest.approx(1)
 
 
+def test_kernels(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(12, 3)), rng.normal(size=(12, 5))
+    kernel = lambda a: spark.createDataFrame([(i, j, float(a[i] @ a[j])) for i in range(12) for j in range(12)], "i int, j int, value double")
+    h = np.eye(12) - 1 / 12
+    want = lambda a, b: np.trace(a @ a.T @ h @ b @ b.T @ h) / 121
+    assert A.hsic(kernel(x), kernel(y)).first()["hsic"] == pytest.approx(want(x, y))
+    assert A.cka(kernel(x), kernel(y)).first()["cka"] == pytest.approx(want(x, y) / (want(x, x) * want(y, y)) ** 0.5)
+    long = lambda a: L.to_long(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)], "id int, f array<double>"), "f")
+    assert A.linear_cka(long(x), long(y), "id").first()["cka"] == pytest.approx(A.cka(kernel(x), kernel(y)).first()["cka"])
+
+
 def test_sparse_projection_keeps_norms_on_average(spark):
     x = spark.createDataFrame([(0, j, 1.0) for j in range(200)], "id int, feature int, value double")
     n = M.sparse_projection(spark, x, ["id"], 200, 400, seed=1).agg(F.sum(F.col("value") ** 2)).first()[0]
