@@ -27,6 +27,8 @@ SUPPORT, STEPS, LEAST_ROWS = 0.7, 4, 60
 FLOOR = 0.3
 #: Squared distance beyond which a row goes: the 1 - 1e-9 quantile of chi-squared with 7 degrees of freedom, doubled for the long tails of text.
 CUT = 2 * 56.5
+#: Estimates (about 0.5 kB each) that are broadcast at most; more are joined by a shuffle, in which adaptive execution splits hot groups.
+MOST_BROADCAST = 20_000
 STATISTICS = ("word_length", "upper", "symbol", "digit", "variety", "short", "lines")
 P = len(STATISTICS)
 _DROP_UPPER = re.compile(r"[^\W\d_a-z]")
@@ -146,9 +148,14 @@ def _started(parts):
         yield _packed(pdf, q[:, :, 1], s)
 
 
+def _small(e: DataFrame) -> DataFrame:
+    """A checkpointed table of groups, broadcast where there are few: rows of a hot group then stay where they are."""
+    return F.broadcast(e) if e.count() <= MOST_BROADCAST else e
+
+
 def _moved(rows: DataFrame, e: DataFrame) -> DataFrame:
     """The estimates that follow from the rows near ``e``."""
-    sums = rows.join(e, "g").mapInArrow(_sums, _PARTS)
+    sums = rows.join(_small(e), "g").mapInArrow(_sums, _PARTS)
     sums = sums.groupBy("g", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS))
     return C.cut(sums.where("n > 0").mapInPandas(_estimates, _SCHEMA))
 
@@ -162,8 +169,8 @@ def fit(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFr
     near = ["g", "start", "centre", "inverse"]
     now = first.unionByName(_moved(rows, first.select(*near)).withColumn("start", F.lit(1)))
     for _ in range(steps):
-        e = now.select(*near)
-        d = rows.join(e, "g").select("x", *near).mapInArrow(_distances, "g string, start int, d double")
+        e = C.cut(now.select(*near))
+        d = rows.join(_small(e), "g").select("x", *near).mapInArrow(_distances, "g string, start int, d double")
         h = d.groupBy("g", "start").agg(F.percentile_approx("d", support, 5000).alias("h"))
         now = _moved(rows, C.cut(e.join(h, ["g", "start"])))
     best = now.groupBy("g").agg(F.min_by(F.struct("centre", "scatter"), F.struct("logdet", "start")).alias("b"))
@@ -194,10 +201,10 @@ def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = C.cut(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("own", _key(F.col("lang"), F.col("source"))))
     own = rows.groupBy("own", "lang").agg(F.count("*").alias("n"))
     own = C.cut(own.select("own", F.when(F.col("n") >= LEAST_ROWS, F.col("own")).otherwise(_key(F.col("lang"))).alias("g")))
-    rows = C.cut(rows.join(own, "own").drop("own"))
-    e = fit(rows.select("g", "x"))
-    one = e.mapInPandas(lambda parts: _scaled(p.assign(factor=1.0) for p in parts), "g string, centre array<double>, inverse array<double>")
-    d = rows.select("g", "x").join(one, "g").withColumn("start", F.lit(0)).mapInArrow(_distances, "g string, start int, d double")
+    rows = C.cut(rows.join(_small(own), "own").drop("own"))
+    e = C.cut(fit(rows.select("g", "x")))
+    one = C.cut(e.mapInPandas(lambda parts: _scaled(p.assign(factor=1.0) for p in parts), "g string, centre array<double>, inverse array<double>"))
+    d = rows.select("g", "x").join(_small(one), "g").withColumn("start", F.lit(0)).mapInArrow(_distances, "g string, start int, d double")
     e = e.join(d.groupBy("g").agg((F.percentile_approx("d", 0.5, 5000) / _MEDIAN).alias("factor")), "g")
     return rows, C.cut(e.mapInPandas(_scaled, "g string, centre array<double>, inverse array<double>")), own
 
@@ -206,6 +213,11 @@ def _squared(x: pa.Array, centre: pa.Array, inverse: pa.Array) -> pa.Array:
     return pa.array(distance(_matrix(x, P), _matrix(centre, P), _matrix(inverse, P, P)))
 
 
+def _text_squared(text: pa.Array, centre: pa.Array, inverse: pa.Array) -> pa.Array:
+    """Statistics and distance in one function: two in a stage would take two Python workers for each task."""
+    return _squared(_statistics(text), centre, inverse)
+
+
 def select(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, lang, source, distance, kept) of the rows that are no outliers, one for each input row.
 
@@ -215,14 +227,14 @@ def select(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """
     rows, e, _ = model(docs)
     d = F.sqrt(F.arrow_udf(_squared, "double")("x", "centre", "inverse"))
-    d = rows.join(e, "g").select("doc_id", "lang", "source", d.alias("distance"))
+    d = rows.join(_small(e), "g").select("doc_id", "lang", "source", d.alias("distance"))
     return d.where(F.col("distance") <= float(np.sqrt(cut))).withColumn("kept", F.lit(True))
 
 
 def keep(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that :func:`select` keeps, with all their columns."""
     _, e, own = model(docs)
-    x, o, c, v = (C.fresh(docs, n) for n in ("x", "own", "centre", "inverse"))
+    o, c, v = (C.fresh(docs, n) for n in ("own", "centre", "inverse"))
     e = C.cut(own.join(e, "g").select(F.col("own").alias(o), F.col("centre").alias(c), F.col("inverse").alias(v)))
-    d = with_statistics(docs, x).withColumn(o, _key(docs["lang"], docs["source"])).join(e, o)
-    return d.where(F.arrow_udf(_squared, "double")(x, c, v) <= cut).drop(x, o, c, v)
+    d = docs.withColumn(o, _key(docs["lang"], docs["source"])).join(_small(e), o)
+    return d.where(F.arrow_udf(_text_squared, "double")(docs["text"], c, v) <= cut).drop(o, c, v)
