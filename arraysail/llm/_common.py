@@ -86,6 +86,7 @@ def by_slices(column: pa.Array, f, size: int = 4_000_000) -> list:
 
 
 def _trim() -> None:
+    pa.default_memory_pool().release_unused()
     if _MALLOC_TRIM is not None:
         _MALLOC_TRIM(0)
 

@@ -34,7 +34,7 @@ TABLES, RADIUS = 8, 2
 MOST_DIFFERING = 0.14
 _FIND = re.compile(r"\w+").findall
 #: Rows of variants that one task sorts at once.
-ROWS_PER_TASK = 1_500_000
+ROWS_PER_TASK = 800_000
 
 
 def word_bits(n_docs: int) -> int:

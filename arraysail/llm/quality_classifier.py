@@ -26,7 +26,7 @@ MAX_LABELLED = 20_000
 SEED = 42
 SLACK = 0.005
 _FIND = re.compile(r"\w+|[^\w\s]+").findall
-_HASH = C.Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
+_HASH = C.Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")), 100_000)
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
