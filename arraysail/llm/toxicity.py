@@ -97,8 +97,8 @@ def fit(texts: list[str], toxic: list[bool], prior: float) -> tuple[dict[str, fl
     at = {k: i for i, k in enumerate(names)}
     rows = [np.array(sorted(at[k] for k in at.keys() & s), np.int64) for s in sets]
     positive, unlabelled = [r for r, y in zip(rows, toxic) if y], [r for r, y in zip(rows, toxic) if not y]
-    if not positive or not unlabelled:
-        return {}, -1.0
+    if not names or not positive or not unlabelled:
+        return {}, float(np.log(prior / (1 - prior))) if prior < 0.5 else -1.0
     everywhere = np.bincount(np.concatenate(unlabelled), minlength=len(names))
     scale = np.log((len(unlabelled) + 1) / (everywhere + 1)) / np.log(len(unlabelled) + 1)
     model = PULinear(prior).fit(positive, unlabelled, scale)
@@ -138,14 +138,14 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, **parameters
     """(doc_id, score, toxic) of every row; ``toxic`` where the score is above nought.
 
     A null or empty text has the model's offset as its score. Without confirmed
-    examples nothing is toxic. Repeated rows are scored alike; whole texts are
+    examples, or a feature that tells them from the rest, nothing is toxic. Repeated rows are scored alike; whole texts are
     read, other columns ignored; an empty table gives an empty result.
     """
     shared = spark.sparkContext.broadcast(model(docs, labels, **parameters))
 
     def f(text: pa.Array) -> pa.Array:
         weights, offset = shared.value
-        return pa.array([score(t or "", weights, offset) for t in text.to_pylist()], pa.float64())
+        return pa.array(C.by_slices(text, lambda texts: [score(t, weights, offset) for t in texts]), pa.float64())
 
     out = docs.select("doc_id", F.arrow_udf(f, "double").asNondeterministic()("text").alias("score"))
     return out.withColumn("toxic", F.col("score") > 0)
