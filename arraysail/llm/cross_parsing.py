@@ -1,31 +1,45 @@
 """Language-model scoring by Ziv-Merhav cross-parsing.
 
-The reference text of the corpus (documents labelled as good, or all of them)
-is dealt to blocks by a hash of the id. A block holds two suffix automata over
-words, one for each half of its reference documents; a document is factored
-greedily, longest match after longest match, against the automaton of the half
-that it is not in, so nothing is measured against itself. With ``c`` phrases
-over ``n`` words and a reference of ``N`` words the cross entropy is
-``c log2 N / n`` bits a word; less the entropy of the document's own
+The reference text of the corpus is that of the documents labelled as good, or
+of all. A document is factored greedily, longest match after longest match,
+against all of it but its own text, so nothing is measured against itself. With
+``c`` phrases over ``n`` words and a reference of ``N`` words the cross entropy
+is ``c log2 N / n`` bits a word; less the entropy of the document's own
 incremental parsing it is the relative entropy.
 
-All reference text is in some automaton. The number of blocks follows the
-corpus while their size stays the same, so a document costs the same, and its
-score means the same, at every size. Text is shuffled once.
+The reference is dealt to shards that a task can hold, as files in the shared
+folder. A task sorts the suffixes of its documents and of one shard together,
+takes the longest match at every word from the neighbours that are of another
+document, and keeps the longest over all shards; the factoring comes last, so
+shards change no result. The work grows with the documents times the shards.
+
+With ``block_chars`` documents and reference are dealt to blocks of that size
+instead, each with two suffix automata over words, one for each half of its
+reference; a document meets the half of its block that it is not in.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import re
+import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as pads
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of reference text, and of all text, that a block holds on average.
-BLOCK_CHARS, BLOCK_TEXT = 2_000_000, 24_000_000
+from arraysail.llm import _common as C
+
+#: Characters of reference text in a shard on average, and words of documents that a task holds against it.
+SHARD_CHARS, TASK_WORDS = 16_000_000, 2_500_000
+#: Characters of all text that a block holds on average, where blocks are asked for.
+BLOCK_TEXT = 24_000_000
 SEED = 5
 words_of = re.compile(r"\w+|[^\w\s]").findall
 
@@ -136,14 +150,227 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
         gc.enable()
 
 
-def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int = BLOCK_CHARS, block_text: int = BLOCK_TEXT) -> DataFrame:
+def _code(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_CODES = C.Memo(_code)
+
+
+def codes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(_CODES.__getitem__, words), np.int64, len(words))
+
+
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one row with a place between two, and whether a place holds a word."""
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    row, holds = np.zeros(ends[-1] if len(ends) else 0, np.int64), np.ones(ends[-1] if len(ends) else 0, bool)
+    for t, e in zip(texts, ends):
+        row[e - 1 - len(t) : e - 1] = t
+    holds[ends - 1] = False
+    return row, holds
+
+
+def suffixes(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places in the order of what follows them, up to the end of their text (0 in ``ids``), ``left`` words away."""
+    n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
+    h = max(1, min(63 // bits, 8))
+    key = ids.astype(np.int64)
+    for k in range(1, h):
+        key <<= bits
+        key[: n - k] |= ids[k:]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
+    del key
+    slot = np.arange(n, dtype=np.int32)
+    order, head = order.astype(np.int32), np.maximum.accumulate(np.where(first, slot, 0))
+    rank = np.empty(n, np.int32)
+    rank[order] = head
+    slots = slot
+    while True:
+        alone = first & np.concatenate([first[1:], [True]]) if len(first) else first
+        open_ = ~alone & (left[order[slots]] >= h)
+        slots = slots[open_]
+        if not len(slots):
+            return order
+        at = order[slots]
+        own = rank[at]
+        key = (own.astype(np.int64) << 32) | rank[np.minimum(at + h, n - 1)]
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        order[slots] = at
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
+        h *= 2
+
+
+def _common_words(ids: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, sums: list) -> np.ndarray:
+    """Words that the texts at places a and b have in common before either ends."""
+    most = np.minimum(left[a], left[b])
+    out = np.zeros(len(a), np.int32)
+    todo = np.arange(len(a))
+    for k in range(12):
+        todo = todo[most[todo] > k]
+        todo = todo[ids[a[todo] + k] == ids[b[todo] + k]]
+        out[todo] = k + 1
+    todo = todo[most[todo] > 12]
+    if len(todo):
+        # long ones: halved by sums of random codes times powers, modulo 2^64
+        if not sums:
+            mix = np.random.default_rng(SEED).integers(1, 1 << 63, int(ids.max()) + 1, dtype=np.uint64)
+            power = np.full(len(ids) + 1, 0x9E3779B97F4A7C15, np.uint64)
+            power[0] = 1
+            np.cumprod(power, out=power)
+            total = np.zeros(len(ids) + 1, np.uint64)
+            np.multiply(mix[ids], power[:-1], out=total[1:])
+            np.cumsum(total[1:], out=total[1:])
+            sums += [power, total]
+        power, total = sums
+        x, y, room, done = a[todo].astype(np.int64), b[todo].astype(np.int64), most[todo], out[todo].astype(np.int64)
+        last = len(ids)
+        step = 1 << int(room.max()).bit_length()
+        while step:
+            i = np.flatnonzero(done + step <= room)
+            u, v = x[i] + done[i], y[i] + done[i]
+            same = (total[u + step] - total[u]) * power[last - u] == (total[v + step] - total[v]) * power[last - v]
+            done[i[same]] += step
+            step >>= 1
+        out[todo] = done
+    return out
+
+
+def longest(shard: list[np.ndarray], shard_ids: np.ndarray, texts: list[np.ndarray], own_ids: np.ndarray) -> np.ndarray:
+    """The longest match at every place of ``texts`` (one more place after each) with texts of the shard of other ids; ids below 0 are none's."""
+    (r, rh), (q, qh) = _joined(shard), _joined(texts)
+    out = np.zeros(len(q), np.int32)
+    if not rh.any() or not qh.any():
+        return out
+    m = len(r)
+    holds = np.concatenate([rh, qh])
+    ids = pd.factorize(np.concatenate([r, q]))[0].astype(np.int32) + 1
+    del r, q
+    ids[~holds] = 0
+    n = len(ids)
+    place = np.arange(n, dtype=np.int32)
+    end = np.where(holds, np.int32(n), place)
+    left = np.minimum.accumulate(end[::-1])[::-1] - place
+    del end, holds
+    order = suffixes(ids, left)
+    owner = np.repeat(shard_ids, [len(t) + 1 for t in shard])
+    mine = np.repeat(own_ids, [len(t) + 1 for t in texts])
+    is_ref = order < m
+    refs = order[is_ref]
+    before = np.cumsum(is_ref, dtype=np.int32)[~is_ref] - 1
+    at = order[~is_ref]
+    del order, is_ref
+    whose = owner[refs]
+    edge = np.concatenate([[True], whose[1:] != whose[:-1]])
+    k = np.arange(len(refs), dtype=np.int32)
+    other_low = np.maximum.accumulate(np.where(edge, k, 0)) - 1
+    other_high = np.minimum.accumulate(np.where(np.concatenate([edge[1:], [True]]), k, len(refs))[::-1])[::-1] + 1
+    sums: list = []
+    for side in (0, 1):
+        near = before + side
+        inside = (near >= 0) & (near < len(refs))
+        near, here = near[inside], at[inside]
+        same = whose[near] == mine[here - m]
+        near = np.where(same, (other_low, other_high)[side][near], near)
+        inside = (near >= 0) & (near < len(refs))
+        near, here = near[inside], here[inside]
+        found = _common_words(ids, left, here, refs[near], sums)
+        out[here - m] = np.maximum(out[here - m], found)
+    return out
+
+
+def _phrases(match: list[int]) -> int:
+    n = at = 0
+    while at < len(match):
+        at += match[at] or 1
+        n += 1
+    return n
+
+
+def _tokens(batches):
+    for b in batches:
+        for i, j, texts in C.text_slices(b.column(1)):
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([codes(words_of(t)).tobytes() for t in texts], pa.binary()), b.column(2)[i:j]], names=["doc_id", "words", "shard"])
+
+
+def _scored(held: list[tuple], folder: str, shards: int):
+    """Rows (id, codes, own phrases) to their scores against all shards."""
+    texts = [x[1] for x in held]
+    # ids of any value become numbers from 0; null ids own nothing
+    numbers = {i: k for k, i in enumerate({x[0] for x in held} - {None})}
+    mine = np.array([-1 if x[0] is None else numbers[x[0]] for x in held], np.int64)
+    match = np.zeros(sum(len(t) + 1 for t in texts), np.int32)
+    size, own_size = 0, np.zeros(len(numbers) + 1, np.int64)
+    files, path = FileSystem.from_uri(folder)
+    for s in range(shards):
+        if files.get_file_info(f"{path}/shard={s}").type == FileType.NotFound:  # no document was dealt to it
+            continue
+        t = pads.dataset(f"{path}/shard={s}", filesystem=files, format="parquet").to_table(columns=["doc_id", "words"])
+        shard = [np.frombuffer(w.as_buffer(), np.int64) for w in t["words"]]
+        ids = t["doc_id"].to_pylist()
+        owner = np.array([numbers.get(i, -2 - k) for k, i in enumerate(ids)], np.int64)
+        sizes = np.array([len(w) for w in shard], np.int64)
+        size += int(sizes.sum())
+        np.add.at(own_size, owner[owner >= 0], sizes[owner >= 0])
+        np.maximum(match, longest(shard, owner, texts, mine), out=match)
+        del t, shard
+        C._trim()
+    start, rows = 0, []
+    for (i, t, own), k in zip(held, mine):
+        n, reference = len(t), size - (int(own_size[k]) if k >= 0 else 0)
+        c = _phrases(match[start : start + n].tolist())
+        start += n + 1
+        cross = _bits(c, reference, n) if n else None
+        rows.append((i, n, c, reference, cross, cross - _bits(own, own, n) if n else None))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+
+
+def _against(folder: str, shards: int, most: int):
+    def f(batches):
+        held, n = [], 0
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for i, _, texts in C.text_slices(b.column(1)):
+                for k, t in enumerate(texts, i):
+                    words = words_of(t)
+                    held.append((ids[k], codes(words), own_phrases(words)))
+                    n += len(words) + 1
+                    if n >= most:
+                        yield _scored(held, folder, shards)
+                        held, n = [], 0
+        if held:
+            yield _scored(held, folder, shards)
+
+    return f
+
+
+_COLUMNS = "doc_id long, n_words long, n_phrases long, reference_words long, cross_entropy double, relative_entropy double"
+
+
+def _whole(rows: DataFrame, reference: DataFrame, chars: int, total: int, shard_chars: int, task_words: int) -> DataFrame:
+    spark = rows.sparkSession
+    shards = max(1, math.ceil(chars / shard_chars))
+    folder = re.sub("^file:/+", "file:///", f"{C.checkpoint_dir(spark)}/reference-{uuid.uuid4().hex}")
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int").alias("shard")
+    dealt = reference.select("doc_id", "text", shard).mapInArrow(_tokens, "doc_id long, words binary, shard int")
+    dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / (5 * task_words)))
+    return rows.coalesce(tasks).mapInArrow(_against(folder, shards, task_words), _COLUMNS)
+
+
+def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int | None = None, block_text: int = BLOCK_TEXT, shard_chars: int = SHARD_CHARS, task_words: int = TASK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_phrases, reference_words, cross_entropy, relative_entropy) of every row.
 
     The reference is all documents labelled with quality 1 and not as toxic;
     without ``labels``, or where none is labelled so, all documents with an id.
-    Null, empty and blank texts have no words, no phrases and null scores. Rows
-    with a null id are scored and are no reference. Repeated rows are in the
-    same block and half and are scored alike. Texts are read whole; other
+    Every document meets all of the reference but the rows of its own id; with
+    ``block_chars`` only that of the other half of its block. Null, empty and blank texts have no words, no phrases and null scores. Rows
+    with a null id are scored and are no reference. Repeated rows are scored alike. Texts are read whole; other
     columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -155,11 +382,12 @@ def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int =
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if not chars:
         good, chars = rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), total
+    if block_chars is None:
+        return _whole(rows, rows.join(good, "doc_id", "left_semi"), chars, total, shard_chars, task_words)
     blocks = max(1, math.ceil(chars / block_chars), math.ceil(total / block_text))
     mix = lambda x: F.xxhash64(x, F.lit(SEED))
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit(""))
     block = lambda h: F.pmod(F.shiftright(h, 1), F.lit(blocks)).cast("int")
     rows = rows.select("doc_id", "text", block(mix(own)).alias("block"), mix(own).bitwiseAND(F.lit(1)).cast("int").alias("half"))
     good = good.select("doc_id", block(mix(F.col("doc_id").cast("string"))).alias("block"))
-    schema = "doc_id long, n_words long, n_phrases long, reference_words long, cross_entropy double, relative_entropy double"
-    return rows.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_score, schema)
+    return rows.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_score, _COLUMNS)

@@ -95,3 +95,28 @@ def test_edges(spark, edge, edge_labels):
         assert all(next(iter(by[i]))[0] == 0 and next(iter(by[i]))[3] is None for i in (100, 101, 102))
         assert sorted(r["n_words"] for r in rows if r["doc_id"] is None) == [0, 5]
     assert X.scores(common.empty(edge), edge_labels).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.sampled_from("ab"), max_size=40)), max_size=5), st.lists(st.tuples(st.integers(0, 3), st.lists(st.sampled_from("abc"), max_size=40)), min_size=1, max_size=4))
+def test_longest_matches_with_other_documents(reference, texts):
+    import numpy as np
+
+    got = X.longest([X.codes(w) for _, w in reference], np.array([i for i, _ in reference], np.int64), [X.codes(w) for _, w in texts], np.array([i for i, _ in texts], np.int64)).tolist()
+    for i, w in texts:
+        others = [r for j, r in reference if j != i]
+        for p in range(len(w)):
+            assert got.pop(0) == max((k for k in range(1, len(w) - p + 1) if _holds(others, w[p : p + k])), default=0)
+        assert got.pop(0) == 0
+
+
+def test_every_document_meets_the_whole_reference(spark):
+    docs, labels = common.table(spark, "documents"), common.table(spark, "labels")
+    plain = {r["doc_id"]: X.words_of(r["text"] or "") for r in docs.collect()}
+    good = sorted(r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0)
+    one = {r["doc_id"]: r for r in X.scores(docs, labels).collect()}
+    many = {r["doc_id"]: r for r in X.scores(docs, labels, shard_chars=20_000, task_words=5_000).collect()}
+    assert one == many and len(one) == docs.count()
+    for i in sorted(plain)[::20]:
+        reference = [plain[j] for j in good if j != i]
+        assert (one[i]["n_words"], one[i]["reference_words"], one[i]["n_phrases"]) == (len(plain[i]), sum(map(len, reference)), X.cross_phrases(X.automaton(reference), plain[i]))
