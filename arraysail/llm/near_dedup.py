@@ -3,17 +3,18 @@
 A document's fingerprint is ``TABLES`` words of ``bits`` SimHash bits over its
 distinct words. In each table two words within ``RADIUS`` = 2 bits share at
 least one variant of at most one flipped bit (half the radius), so every
-distinct word emits its ``bits + 1`` variants, rows meet by a shuffle on the
-variant, and colliding documents are compared over all bits of the
+word emits its ``bits + 1`` variants, rows meet by a shuffle on the
+variant, and all pairs of a bucket are compared over all bits of the
 fingerprint. Verified pairs are joined into groups by connected components.
 
 The width of a word follows the number of documents, so that the chance
 collisions of a document stay the same at every size; the tables make up for
 the edits that a wider word misses.
 
-Groups of any size stay linear: a bucket links its members to its first one and
-to the next one; equal words are linked to their first document and stand for
-one row in the search.
+Documents of equal fingerprints are linked to the least and stand for one row in
+the search. Nothing else is left out before the comparison: a bucket gives every
+pair of its rows, so its work is quadratic in the distinct fingerprints that
+share a variant.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _fingerprint(bits: int):
 
 
 def _variants(bits: int):
-    """(key, doc) to the rows of all keys within one bit; the table is in the bits above the word."""
+    """(key, doc) to the rows of all keys within one bit, and which bit; the table is in the bits above the word."""
 
     def f(batches):
         flips = np.concatenate([[0], np.int64(1) << np.arange(bits, dtype=np.int64)])
@@ -105,36 +106,52 @@ def _variants(bits: int):
             key, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i in range(0, len(key), 4096):
                 k = (key[i : i + 4096, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(doc[i : i + 4096], bits + 1))], names=["key", "doc"])
+                flip = np.tile(np.arange(bits + 1, dtype=np.int8), len(k) // (bits + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(doc[i : i + 4096], bits + 1)), pa.array(flip)], names=["key", "doc", "flip"])
 
     return f
 
 
 def _meetings(batches):
-    """The links of each bucket of a whole partition: members to its least, and each to the next."""
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    """All pairs of each bucket of a whole partition; those of one word in its own bucket alone."""
+    parts = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for b in batches]
     if not parts:
         return
-    key, doc = (np.concatenate(x) for x in zip(*parts))
+    key, doc, flip = (np.concatenate(x) for x in zip(*parts))
     del parts
-    shared = np.argsort(key, kind="stable")
-    key = key[shared]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     same = key[1:] == key[:-1]
     both = np.zeros(len(key), bool)
     both[1:] |= same
     both[:-1] |= same
-    key, doc = key[both], doc[shared[both]]
-    if not len(key):
-        return
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    starts = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-    a = np.concatenate([doc[first][~starts], doc[:-1][~starts[1:]]])
-    b = np.concatenate([doc[~starts], doc[1:][~starts[1:]]])
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    for i in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, 0]), pa.array(pairs[i : i + 100_000, 1])], names=["a", "b"])
+    key, doc, flip = key[both], doc[order[both]], flip[order[both]]
+    del order
+    here, apart, held, n = np.arange(len(key)), 1, [], 0
+    while len(here):
+        here = here[here + apart < len(key)]
+        here = here[key[here] == key[here + apart]]
+        for i in range(0, len(here), 100_000):
+            x = here[i : i + 100_000]
+            y = x + apart
+            ok = ((flip[x] != flip[y]) | (flip[x] == 0)) & (doc[x] != doc[y])
+            x, y = doc[x[ok]], doc[y[ok]]
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            n += len(x)
+            if n >= 1_000_000:
+                yield from _pairs(held)
+                held, n = [], 0
+        apart += 1
+    yield from _pairs(held)
+
+
+def _pairs(held: list[np.ndarray]):
+    if held:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+        for i in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, 0]), pa.array(pairs[i : i + 100_000, 1])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,14 +178,10 @@ def search(prints: DataFrame, bits: int) -> DataFrame:
     """Verified links (a, b) between documents (doc, f), f the words of all tables."""
     spark = prints.sparkSession
     words = prints.select("doc", F.posexplode("f")).select(F.col("col").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 57)).alias("key"), "doc")
-    lead = words.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("n"))
-    lead = C.cut(lead)
-    equal = words.join(lead.where("n > 1").select("key", "lead"), "key").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
-    rows = lead.count() * (bits + 1)
+    rows = prints.count() * TABLES * (bits + 1)
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
-    variants = lead.select("key", F.col("lead").alias("doc")).mapInArrow(_variants(bits), "key long, doc long")
-    met = variants.repartition(tasks, "key").mapInArrow(_meetings, "a long, b long")
-    pairs = equal.unionByName(met).distinct()
+    variants = words.mapInArrow(_variants(bits), "key long, doc long, flip byte")
+    pairs = variants.repartition(tasks, "key").mapInArrow(_meetings, "a long, b long").distinct()
     fa, fb = prints.select(F.col("doc").alias("a"), F.col("f").alias("fa")), prints.select(F.col("doc").alias("b"), F.col("f").alias("fb"))
     differing = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(TABLES)), F.lit(0))
     return pairs.join(fa, "a").join(fb, "b").where(differing <= int(MOST_DIFFERING * TABLES * bits)).select("a", "b")

@@ -90,3 +90,23 @@ def test_edges(spark, edge):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(3) == 1 and ids.count(None) == 2 and 107 not in ids and 104 in ids and 100 in ids
     assert N.groups(common.empty(edge)).count() == 0 and N.keep(common.empty(edge)).count() == 0
+
+
+def test_a_bucket_gives_all_its_pairs():
+    import pyarrow as pa
+
+    # 1 and 5 are the same word, all others are one bit from 0b0; 9 is alone
+    words = {1: 0b1, 2: 0b10, 3: 0b100, 4: 0b1000, 5: 0b1, 9: 0xFFFF0000}
+    rows = list(N._variants(32)([pa.RecordBatch.from_arrays([pa.array(list(words.values())), pa.array(list(words))], names=["key", "doc"])]))
+    got = [p for b in N._meetings(rows) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert set(got) == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} and len(got) == len(set(got))
+
+
+def test_a_pair_is_found_beside_unrelated_colliders(spark):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 32, (40, N.TABLES))
+    prints[:, 0] = 77  # all share one word
+    prints[33, 1:] = prints[7, 1:] ^ 7  # three bits differ in every other table
+    rows = [(i, [int(x) for x in f]) for i, f in enumerate(prints)]
+    got = N.search(spark.createDataFrame(rows, "doc long, f array<long>"), 32).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(7, 33)]
