@@ -7,9 +7,9 @@ word emits its ``bits + 1`` variants, rows meet by a shuffle on the
 variant, and all pairs of a bucket are compared over all bits of the
 fingerprint. Verified pairs are joined into groups by connected components.
 
-The width of a word follows the number of documents, so that the chance
-collisions of a document stay the same at every size; the tables make up for
-the edits that a wider word misses.
+Width, radius and number of tables are the same at every size, chosen so that a
+pair at the bound of ``MOST_DIFFERING`` is found with a chance of over 0.9
+(independent bits); chance collisions of a document grow with the documents.
 
 Documents of equal fingerprints are linked to the least and stand for one row in
 the search. Nothing else is left out before the comparison: a bucket gives every
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-TABLES, RADIUS = 8, 2
+TABLES, RADIUS = 14, 2
 #: Largest share of differing fingerprint bits of a verified pair (an angle of about 0.44 between the sets of words).
 MOST_DIFFERING = 0.14
 _FIND = re.compile(r"\w+").findall
@@ -38,9 +38,15 @@ _FIND = re.compile(r"\w+").findall
 ROWS_PER_TASK = 800_000
 
 
+def recall(bits: int, tables: int = TABLES, share: float = MOST_DIFFERING) -> float:
+    """Chance that a pair with this share of differing bits has a word within ``RADIUS`` bits in some table."""
+    near = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(RADIUS + 1))
+    return 1 - (1 - near) ** tables
+
+
 def word_bits(n_docs: int) -> int:
-    """Bits per table: 32 up to a million documents, one more for each doubling."""
-    return min(56, max(32, math.ceil(math.log2(max(n_docs, 2))) + 12))
+    """Bits per table: 32 at every size, as a wider word would miss pairs that a smaller table joins."""
+    return 32
 
 
 class Signs:

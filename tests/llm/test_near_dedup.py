@@ -110,3 +110,13 @@ def test_a_pair_is_found_beside_unrelated_colliders(spark):
     rows = [(i, [int(x) for x in f]) for i, f in enumerate(prints)]
     got = N.search(spark.createDataFrame(rows, "doc long, f array<long>"), 32).collect()
     assert [(r["a"], r["b"]) for r in got] == [(7, 33)]
+
+
+def test_pairs_at_the_bound_are_found_alike_at_every_size():
+    rng = np.random.default_rng(5)
+    for n in (10, 1_000_000, 12_000_000, 1_000_000_000):
+        bits = N.word_bits(n)
+        assert N.recall(bits) >= 0.9
+        differing = rng.random((4000, N.TABLES, bits)) < N.MOST_DIFFERING
+        assert (differing.sum(2) <= N.RADIUS).any(1).mean() > 0.88
+    assert N.recall(36) < 0.9 and N.recall(40) < 0.9  # wider words would need more tables
