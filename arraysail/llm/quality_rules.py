@@ -25,8 +25,8 @@ from arraysail.llm import _common as C
 SUPPORT, STEPS, LEAST_ROWS = 0.7, 4, 60
 #: Scatter is estimated for each group, then this much (in units of the transformed statistics) is added to each spread.
 FLOOR = 0.3
-#: Squared distance beyond which a row goes: the 1 - 1e-9 quantile of chi-squared with 7 degrees of freedom, doubled for the long tails of text.
-CUT = 2 * 56.5
+#: Squared distance beyond which a row goes: the 1 - 1e-6 quantile of chi-squared with 7 degrees of freedom.
+CUT = 40.52
 #: Estimates (about 0.5 kB each) that are broadcast at most; more are joined by a shuffle, in which adaptive execution splits hot groups.
 MOST_BROADCAST = 20_000
 STATISTICS = ("word_length", "upper", "symbol", "digit", "variety", "short", "lines")

@@ -76,3 +76,11 @@ def test_edges(spark, edge):
     assert R.select(common.empty(edge)).count() == 0 and R.keep(common.empty(edge)).count() == 0
     same = spark.createDataFrame([(i, "same text here", "en", "web") for i in range(100)], "doc_id long, text string, lang string, source string")
     assert R.select(same).count() == 100  # no spread at all
+
+
+def test_most_labelled_junk_goes(spark):
+    d = "/root/testdata/sf0.1"
+    kept = {r["doc_id"] for r in R.select(common.table(spark, "documents", d)).collect()}
+    labels = common.table(spark, "labels", d).toPandas()
+    assert labels[labels.quality == 0].doc_id.isin(kept).mean() < 0.2
+    assert labels[labels.quality == 1].doc_id.isin(kept).mean() > 0.99
