@@ -23,6 +23,8 @@ import heapq
 import json
 import math
 import re
+from decimal import Decimal
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,24 +63,78 @@ def _is(x, kind: str) -> bool:
     return kind in _TYPES and isinstance(x, _TYPES[kind]) and (kind == "boolean" or not isinstance(x, bool))
 
 
-def violations(x, schema, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema: type, enum, const, bounds, lengths, pattern, properties, required, additionalProperties, items, anyOf."""
+#: Keywords that are read, and those that constrain nothing.
+_READ = set("type enum const anyOf allOf oneOf not $ref minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength minItems maxItems uniqueItems minProperties maxProperties pattern properties patternProperties required dependentRequired additionalProperties items prefixItems".split())
+_NOTES = set("$defs definitions $schema $id $comment title description default examples deprecated readOnly writeOnly".split())
+
+
+def _target(root, ref):
+    """What a local reference names; LookupError for any other."""
+    if not isinstance(ref, str) or ref != "#" and not ref.startswith("#/"):
+        raise LookupError(ref)
+    for part in unquote(ref).split("/")[1:]:
+        if not isinstance(root, (dict, list)):
+            raise LookupError(ref)
+        root = root[int(part) if isinstance(root, list) else part.replace("~1", "/").replace("~0", "~")]
+    return root
+
+
+def unread(schema) -> list[str]:
+    """Keywords of a schema, at any depth, that are not read."""
+    out, todo, known = set(), [(schema, "$")], set()
+    while todo:
+        s, at = todo.pop()
+        if not isinstance(s, dict) or id(s) in known:
+            continue
+        known.add(id(s))
+        out |= {f"{at}: {k} is not read" for k in s.keys() - _READ - _NOTES}
+        if "$ref" in s:
+            try:
+                todo.append((_target(schema, s["$ref"]), at))
+            except LookupError:
+                out.add(f"{at}: $ref is not read")
+        todo += [(s.get(k), at) for k in ("not", "additionalProperties")]
+        todo += [(v, at) for k in ("anyOf", "allOf", "oneOf") for v in s.get(k, ())]
+        items = s.get("items")
+        todo += [(v, f"{at}[]") for v in (*(items if isinstance(items, list) else [items]), *s.get("prefixItems", ()))]
+        todo += [(v, f"{at}.{name}") for k in ("properties", "patternProperties") for name, v in s.get(k, {}).items()]
+    return sorted(out)
+
+
+def violations(x, schema, at: str = "$", root=None) -> list[str]:
+    """Where a value breaks a JSON schema, by the keywords of ``_READ``; references are local to ``root``."""
     if schema is True or not isinstance(schema, dict):
         return [] if schema is not False else [f"{at}: not allowed"]
+    root = schema if root is None else root
     out = []
+    if "$ref" in schema:
+        try:
+            target = _target(root, schema["$ref"])
+        except LookupError:
+            target = True  # named by unread()
+        out += violations(x, target, at, root)
     kinds = schema.get("type")
     if kinds is not None and not any(_is(x, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: type"]
+        return [*out, f"{at}: type"]
     if "enum" in schema and canonical(x) not in map(canonical, schema["enum"]):
         out.append(f"{at}: enum")
     if "const" in schema and canonical(x) != canonical(schema["const"]):
         out.append(f"{at}: const")
-    if "anyOf" in schema and not any(not violations(x, s, at) for s in schema["anyOf"]):
+    if "anyOf" in schema and not any(not violations(x, s, at, root) for s in schema["anyOf"]):
         out.append(f"{at}: anyOf")
+    for s in schema.get("allOf", ()):
+        out += violations(x, s, at, root)
+    if "oneOf" in schema and sum(not violations(x, s, at, root) for s in schema["oneOf"]) != 1:
+        out.append(f"{at}: oneOf")
+    if "not" in schema and not violations(x, schema["not"], at, root):
+        out.append(f"{at}: not")
     if _is(x, "number"):
         for name, ok in (("minimum", lambda b: x >= b), ("maximum", lambda b: x <= b), ("exclusiveMinimum", lambda b: x > b), ("exclusiveMaximum", lambda b: x < b)):
             if _is(schema.get(name), "number") and not ok(schema[name]):
                 out.append(f"{at}: {name}")
+        by = schema.get("multipleOf")
+        if _is(by, "number") and Decimal(str(x)) % Decimal(str(by)):
+            out.append(f"{at}: multipleOf")
     size = len(x) if isinstance(x, (str, list, dict)) else 0
     for kind, low, high in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems"), (dict, "minProperties", "maxProperties")):
         if isinstance(x, kind):
@@ -93,25 +149,38 @@ def violations(x, schema, at: str = "$") -> list[str]:
         except re.error:
             out.append(f"{at}: pattern cannot be read")
     if isinstance(x, dict):
-        own = schema.get("properties", {})
+        own, like = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in x]
+        for k, needs in schema.get("dependentRequired", {}).items():
+            out += [f"{at}.{n}: dependentRequired" for n in needs if k in x and n not in x]
         for k in sorted(x):
-            if k in own:
-                out += violations(x[k], own[k], f"{at}.{k}")
-            elif "additionalProperties" in schema:
+            found = [own[k]] if k in own else []
+            for p, v in like.items():
+                try:
+                    found += [v] if re.search(p, k) else []
+                except re.error:
+                    out.append(f"{at}.{k}: patternProperties cannot be read")
+            for v in found:
+                out += violations(x[k], v, f"{at}.{k}", root)
+            if not found and "additionalProperties" in schema:
                 more = schema["additionalProperties"]
-                out += [f"{at}.{k}: additional"] if more is False else violations(x[k], more, f"{at}.{k}")
-    if isinstance(x, list) and "items" in schema:
+                out += [f"{at}.{k}: additional"] if more is False else violations(x[k], more, f"{at}.{k}", root)
+    if isinstance(x, list):
+        if schema.get("uniqueItems") is True and len({canonical([v]) for v in x}) < len(x):
+            out.append(f"{at}: uniqueItems")
+        first, rest = schema.get("prefixItems", []), schema.get("items", True)
+        if isinstance(rest, list):  # the older notation of prefixItems
+            first, rest = rest, True
         for i, v in enumerate(x):
-            out += violations(v, schema["items"], f"{at}[{i}]")
+            out += violations(v, first[i] if i < len(first) else rest, f"{at}[{i}]", root)
     return out
 
 
 def check(x, schema) -> list[str]:
-    """:func:`violations`, or one of them where the schema itself can't be read."""
+    """:func:`violations` and :func:`unread`, or one error where the schema itself can't be read."""
     try:
-        return violations(x, schema)
-    except (TypeError, ValueError, AttributeError, RecursionError):
+        return violations(x, schema) + unread(schema)
+    except (TypeError, ValueError, AttributeError, ArithmeticError, RecursionError):
         return ["$: schema cannot be read"]
 
 
@@ -229,7 +298,7 @@ def linked(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = turns.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    structured = F.col("role").isin("system", "assistant", "tool") & F.ltrim("text").startswith("{")
+    structured = F.col("role").isin("system", "assistant", "tool") & F.col("text").rlike(r"\A[ \t\n\r]*\{")
     read = F.from_json("text", f"content string, tool_calls {_CALL}, tools {_TOOL}, tool_call_id string")
     rows = base.withColumn("j", F.when(structured, read))
     calls_ = (F.col("role") == "assistant") & (F.size("j.tool_calls") > 0)

@@ -99,3 +99,27 @@ def test_edges(spark):
     assert got[4]["n_calls"] == 1 and got[4]["n_invalid"] == 1 and got[4]["n_orphans"] == 1
     assert len(json.loads(got[2]["json"])["messages"][0]["content"]) == 200_000
     assert T.format_chats(common.empty(df)).count() == 0
+
+
+@pytest.mark.parametrize("value, schema, wrong", [
+    ({"a": {"n": "x"}}, {"properties": {"a": {"$ref": "#/$defs/A"}}, "$defs": {"A": {"properties": {"n": {"type": "integer"}}}}}, ["$.a.n: type"]),
+    (3, {"allOf": [{"minimum": 1}, {"maximum": 2}]}, ["$: maximum"]),
+    (3, {"oneOf": [{"type": "integer"}, {"minimum": 1}]}, ["$: oneOf"]),
+    (3, {"not": {"type": "integer"}}, ["$: not"]),
+    (0.35, {"multipleOf": 0.1}, ["$: multipleOf"]),
+    (0.3, {"multipleOf": 0.1}, []),
+    ([1, 1.0], {"uniqueItems": True}, ["$: uniqueItems"]),
+    ({"xa": 1}, {"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": False}, ["$.xa: type"]),
+    (["a", 1], {"prefixItems": [{"type": "string"}], "items": {"type": "string"}}, ["$[1]: type"]),
+    ({"a": 1}, {"dependentRequired": {"a": ["b"]}}, ["$.b: dependentRequired"]),
+    ("x", {"format": "date"}, ["$: format is not read"]),
+    ("x", {"$ref": "http://elsewhere"}, ["$: $ref is not read"]),
+    ({}, {"$ref": "#"}, ["$: schema cannot be read"]),
+])
+def test_more_of_schema(value, schema, wrong):
+    assert T.check(value, schema) == wrong
+
+
+def test_json_after_white_space_is_read(spark):
+    r, _ = _one(spark, [(0, "assistant", "\n\t " + json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": {}}]})), (1, "tool", "\r\n" + json.dumps({"tool_call_id": "c", "content": "x"}))])
+    assert (r.n_calls, r.n_results, r.n_linked) == (1, 1, 1)
