@@ -179,7 +179,7 @@ def suffixes(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
     key = ids.astype(np.int64)
     for k in range(1, h):
         key <<= bits
-        key[: n - k] |= ids[k:]
+        key[: max(0, n - k)] |= ids[k:]
     order = np.argsort(key)
     key = key[order]
     first = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
