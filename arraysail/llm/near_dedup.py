@@ -1,25 +1,30 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-A document's fingerprint is ``TABLES`` words of ``bits`` SimHash bits over its
+A document's fingerprint is ``TABLES`` words of ``BITS`` SimHash bits over its
 distinct words. In each table two words within ``RADIUS`` = 2 bits share at
 least one variant of at most one flipped bit (half the radius), so every
-word emits its ``bits + 1`` variants, rows meet by a shuffle on the
-variant, and all pairs of a bucket are compared over all bits of the
-fingerprint. Verified pairs are joined into groups by connected components.
+word emits its ``BITS + 1`` variants, rows meet by a shuffle on the variant, and
+the pairs of a bucket are verified over all bits of the fingerprint. Verified
+pairs are joined into groups by connected components.
 
 Width, radius and number of tables are the same at every size, chosen so that a
 pair at the bound of ``MOST_DIFFERING`` is found with a chance of over 0.9
-(independent bits); chance collisions of a document grow with the documents.
-
-Documents of equal fingerprints are linked to the least and stand for one row in
-the search. Nothing else is left out before the comparison: a bucket gives every
-pair of its rows, so its work is quadratic in the distinct fingerprints that
-share a variant.
+(independent bits).
+
+Large groups of copies are never expanded into all pairs. Equal fingerprints
+stand for one row. Rows of an equal word are first compared with the least of
+them, and verified links give each row a root; a bucket then compares only rows
+of different roots, which loses no connection: what it leaves out is in one
+group already. A row carries a sketch of its other words, by which unrelated
+rows of a bucket are told apart before anything is written. Buckets that hold
+more than ``HOT`` rows are split: rows of their main root go to one part each,
+all others to every part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -30,25 +35,30 @@ from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-TABLES, RADIUS = 14, 2
+BITS, TABLES, RADIUS = 28, 9, 2
 #: Largest share of differing fingerprint bits of a verified pair (an angle of about 0.44 between the sets of words).
 MOST_DIFFERING = 0.14
+#: Differing bits of two sketches (two words of other tables) up to which a pair is verified; a pair at the bound has more in one of 2 000 cases.
+SKETCH_MOST = 17
 _FIND = re.compile(r"\w+").findall
-#: Rows of variants that one task sorts at once.
-ROWS_PER_TASK = 800_000
-
-
-def recall(bits: int, tables: int = TABLES, share: float = MOST_DIFFERING) -> float:
+#: Rows of variants that one task sorts at once, and rows of one bucket that a task takes.
+ROWS_PER_TASK, HOT = 800_000, 50_000
+#: Hot words that the driver names at most; ``HOT`` grows where there would be more.
+MOST_HOT = 20_000
+#: Edges (16 bytes each) whose components one task finds.
+EDGES_AT_ONCE = 1_000_000
+#: Buckets up to this size are compared side by side.
+_SMALL = 48
+#: Bits of a variant's row below the key, for the flipped bit, and of the key with them; parts of a hot bucket are numbered above.
+_FLIP, _ALL = 5, 37
+
+
+def recall(bits: int = BITS, tables: int = TABLES, share: float = MOST_DIFFERING) -> float:
     """Chance that a pair with this share of differing bits has a word within ``RADIUS`` bits in some table."""
     near = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(RADIUS + 1))
     return 1 - (1 - near) ** tables
 
 
-def word_bits(n_docs: int) -> int:
-    """Bits per table: 32 at every size, as a wider word would miss pairs that a smaller table joins."""
-    return 32
-
-
 class Signs:
     """Rows of +-1 for words, kept up to ``limit`` words."""
 
@@ -81,77 +91,129 @@ class Signs:
 _SIGNS: dict[int, Signs] = {}
 
 
-def fingerprints(texts: list[str], bits: int) -> np.ndarray:
+def fingerprints(texts: list[str]) -> np.ndarray:
     """(texts, TABLES) words; texts without a word get -1 in every table."""
-    signs = _SIGNS.setdefault(TABLES * bits, Signs(TABLES * bits))
+    signs = _SIGNS.setdefault(TABLES * BITS, Signs(TABLES * BITS))
     out = np.full((len(texts), TABLES), -1, np.int64)
-    weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+    weight = np.int64(1) << np.arange(BITS, dtype=np.int64)
     for i, j in C.slices(texts, 500_000):
         sets = [set(_FIND(t.lower())) for t in texts[i:j]]
         for k, at in enumerate(signs.index(sets), i):
             if at:
                 total = signs.rows[at].sum(axis=0, dtype=np.int32)
-                out[k] = (total > 0).reshape(TABLES, bits) @ weight
+                out[k] = (total > 0).reshape(TABLES, BITS) @ weight
     return out
 
 
-def _fingerprint(bits: int):
-    def f(text: pa.Array) -> pa.Array:
-        words = C.by_slices(text, lambda texts: fingerprints(texts, bits))
-        return pa.array([None if w[0] < 0 else w.tolist() for w in words], pa.list_(pa.int64()))
+def _fingerprint(text: pa.Array) -> pa.Array:
+    return pa.array([None if w[0] < 0 else w.tolist() for w in C.by_slices(text, fingerprints)], pa.list_(pa.int64()))
+
 
-    return F.arrow_udf(f, "array<long>").asNondeterministic()
+_ROW = "k long, doc long, root long, sketch long"
 
 
-def _variants(bits: int):
-    """(key, doc) to the rows of all keys within one bit, and which bit; the table is in the bits above the word."""
+def variants(words: np.ndarray, doc: np.ndarray, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(k, doc, root, sketch) of all variants of (rows, TABLES) words.
+
+    ``k`` is the part, the table, the variant and the number of its flipped bit
+    (0 for none). ``hot`` has the sorted keys of hot buckets, their parts and
+    main roots.
+    """
+    flips = np.concatenate([[0], np.int64(1) << np.arange(BITS, dtype=np.int64)])
+    tables = np.arange(TABLES, dtype=np.int64)
+    key = ((words | (tables << BITS))[:, :, None] ^ flips).reshape(-1)
+    # the sketch is the words of two tables that are not the row's own
+    sketch = np.where(tables < 2, (words[:, 2] << BITS | words[:, 3])[:, None], (words[:, 0] << BITS | words[:, 1])[:, None])
+    n = BITS + 1
+    sketch = np.repeat(sketch.reshape(-1), n)
+    doc, root = np.repeat(doc, TABLES * n), np.repeat(root, TABLES * n)
+    k = key << _FLIP | np.tile(np.arange(n, dtype=np.int64), len(key) // n)
+    if hot is not None and len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
+        parts = np.where(hot[0][at] == key, hot[1][at], 1)
+        one = (parts == 1) | (root == hot[2][at])
+        part = np.where(parts == 1, 0, (doc * np.int64(0x9E3779B1) >> 8) % parts)
+        times = np.where(one, 1, parts)
+        again = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        k, doc, root, sketch = (np.repeat(x, times) for x in (k, doc, root, sketch))
+        k |= np.where(np.repeat(one, times), np.repeat(part, times), again) << _ALL
+    return k, doc, root, sketch
+
+
+def _variants(hot):
+    """(doc, root, f) to the rows of :func:`variants`."""
 
     def f(batches):
-        flips = np.concatenate([[0], np.int64(1) << np.arange(bits, dtype=np.int64)])
         for b in batches:
-            key, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i in range(0, len(key), 4096):
-                k = (key[i : i + 4096, None] ^ flips[None, :]).ravel()
-                flip = np.tile(np.arange(bits + 1, dtype=np.int8), len(k) // (bits + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(doc[i : i + 4096], bits + 1)), pa.array(flip)], names=["key", "doc", "flip"])
+            words = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
+            doc, root = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i in range(0, len(doc), 512):
+                j = i + 512
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in variants(words[i:j], doc[i:j], root[i:j], hot.value)], names=["k", "doc", "root", "sketch"])
 
     return f
 
 
+def meetings(k: np.ndarray, doc: np.ndarray, root: np.ndarray, sketch: np.ndarray):
+    """Arrays (a, b) of the pairs of different roots and similar sketches in the same bucket; those of one word in its own bucket alone."""
+    bucket = k >> _FLIP
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    same = bucket[1:] == bucket[:-1]
+    both = np.zeros(len(bucket), bool)
+    both[1:] |= same
+    both[:-1] |= same
+    bucket, order = bucket[both], order[both]
+    by = np.lexsort((root[order], bucket))
+    bucket, order = bucket[by], order[by]
+    if not len(order):
+        return
+    k, doc, root, sketch = k[order], doc[order], root[order], sketch[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.append(first, len(bucket)))
+    mixed = root[first] != root[first + size - 1]
+    flip = k & ((1 << _FLIP) - 1)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (root[x] != root[y]) & ((flip[x] != flip[y]) | (flip[x] == 0))
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(sketch[x] ^ sketch[y]) <= SKETCH_MOST
+        x, y = doc[x[ok]], doc[y[ok]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+    left = np.repeat(np.where(mixed & (size <= _SMALL), size, 0), size)
+    place = np.arange(len(bucket)) - np.repeat(first, size)
+    for apart in range(1, _SMALL):
+        x = np.flatnonzero(place + apart < left)
+        if not len(x):
+            break
+        for i in range(0, len(x), 500_000):
+            yield near(x[i : i + 500_000], x[i : i + 500_000] + apart)
+    for i, n in zip(first[mixed & (size > _SMALL)], size[mixed & (size > _SMALL)]):
+        here = np.arange(i, i + n)
+        ends = np.append(np.flatnonzero(root[here[1:]] != root[here[:-1]]) + 1, n)
+        starts = np.concatenate([[0], ends[:-1]])
+        main = int(np.argmax(ends - starts))
+        # every row outside the main root meets all rows; the main root's rows meet nothing among themselves
+        for x in np.delete(here, slice(starts[main], ends[main])):
+            yield near(np.full(n, x), here)
+
+
 def _meetings(batches):
-    """All pairs of each bucket of a whole partition; those of one word in its own bucket alone."""
-    parts = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for b in batches]
+    parts = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)) for b in batches]
     if not parts:
         return
-    key, doc, flip = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = key[1:] == key[:-1]
-    both = np.zeros(len(key), bool)
-    both[1:] |= same
-    both[:-1] |= same
-    key, doc, flip = key[both], doc[order[both]], flip[order[both]]
-    del order
-    here, apart, held, n = np.arange(len(key)), 1, [], 0
-    while len(here):
-        here = here[here + apart < len(key)]
-        here = here[key[here] == key[here + apart]]
-        for i in range(0, len(here), 100_000):
-            x = here[i : i + 100_000]
-            y = x + apart
-            ok = ((flip[x] != flip[y]) | (flip[x] == 0)) & (doc[x] != doc[y])
-            x, y = doc[x[ok]], doc[y[ok]]
-            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-            n += len(x)
-            if n >= 1_000_000:
-                yield from _pairs(held)
-                held, n = [], 0
-        apart += 1
-    yield from _pairs(held)
-
-
-def _pairs(held: list[np.ndarray]):
+    held, n = [], 0
+    for pairs in meetings(*(np.concatenate(x) for x in zip(*parts))):
+        held.append(pairs)
+        n += len(pairs)
+        if n >= 1_000_000:
+            yield from _distinct(held)
+            held, n = [], 0
+    yield from _distinct(held)
+
+
+def _distinct(held: list[np.ndarray]):
     if held:
         pairs = np.concatenate(held)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -160,13 +222,46 @@ def _pairs(held: list[np.ndarray]):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, 0]), pa.array(pairs[i : i + 100_000, 1])], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that are not the least of their component."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        x, y = root[u], root[v]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    linked = root != np.arange(len(node))
+    return node[linked], node[root[linked]]
+
+
+def _contracted(batches):
+    """Edges (u, v) to stars of the same components, two million at a time."""
+    held, n = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += len(b)
+        if held and (b is None or n >= 2_000_000):
+            u, v = contracted(*(np.concatenate(x) for x in zip(*held)))
+            for i in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
+            held, n = [], 0
+
+
+def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """(node, root): each node of the edges (a, b) and the least node of its component.
 
-    Alternates large-star and small-star steps until neither changes the edges;
-    the number of rounds grows with the logarithm of the size.
+    Every partition first replaces its edges by stars. Up to ``at_once`` edges
+    are then finished by one task; more by large-star and small-star steps in
+    turn until neither changes the edges, whose number of rounds grows with the
+    logarithm of the size. The result is the same.
     """
-    now, mark = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    now, mark = C.cut(edges.select("a", "b").mapInArrow(_contracted, "u long, v long")), None
+    if now.count() <= at_once:
+        return C.cut(now.repartition(1).mapInArrow(_contracted, "u long, v long")).select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -180,17 +275,44 @@ def components(edges: DataFrame) -> DataFrame:
         mark = got
 
 
-def search(prints: DataFrame, bits: int) -> DataFrame:
-    """Verified links (a, b) between documents (doc, f), f the words of all tables."""
-    spark = prints.sparkSession
-    words = prints.select("doc", F.posexplode("f")).select(F.col("col").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 57)).alias("key"), "doc")
-    rows = prints.count() * TABLES * (bits + 1)
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
-    variants = words.mapInArrow(_variants(bits), "key long, doc long, flip byte")
-    pairs = variants.repartition(tasks, "key").mapInArrow(_meetings, "a long, b long").distinct()
+def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints differ in few enough bits."""
     fa, fb = prints.select(F.col("doc").alias("a"), F.col("f").alias("fa")), prints.select(F.col("doc").alias("b"), F.col("f").alias("fb"))
     differing = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(TABLES)), F.lit(0))
-    return pairs.join(fa, "a").join(fb, "b").where(differing <= int(MOST_DIFFERING * TABLES * bits)).select("a", "b")
+    return pairs.join(fa, "a").join(fb, "b").where(differing <= int(MOST_DIFFERING * TABLES * BITS)).select("a", "b")
+
+
+def search(prints: DataFrame, hot_rows: int = HOT) -> DataFrame:
+    """Verified links (a, b) between documents (doc, f), f the words of all tables.
+
+    They join exactly what all verified pairs of all buckets would join.
+    """
+    spark = prints.sparkSession
+    key = F.col("col").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), BITS)).alias("key")
+    words = prints.select("doc", F.posexplode("f")).select(key, "doc")
+    least = C.cut(words.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    near = words.join(least, "key").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+    first = components(_verified(near, prints))
+    rooted = prints.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "f")
+    rooted = C.cut(rooted)
+    n = rooted.count()
+    hot_rows = max(hot_rows, n * TABLES // MOST_HOT)
+    hot = spark.sparkContext.broadcast(_hot(least.where(F.col("n") > hot_rows).join(rooted.select(F.col("doc").alias("least"), "root"), "least").select("key", "n", "root").collect(), hot_rows))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n * TABLES * (BITS + 1) / ROWS_PER_TASK))
+    rows = rooted.mapInArrow(_variants(hot), _ROW)
+    pairs = rows.repartition(tasks, F.shiftright("k", _FLIP)).mapInArrow(_meetings, "a long, b long").distinct()
+    return _verified(pairs, prints).unionByName(first.select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+
+def _hot(words: list, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Keys of the buckets around hot words (key, n, root), the parts of each and the root of the most rows."""
+    n, most = {}, {}
+    for key, count, root in words:
+        for x in (0, *(1 << i for i in range(BITS))):
+            n[key ^ x] = n.get(key ^ x, 0) + count
+            most[key ^ x] = max(most.get(key ^ x, (0, 0)), (count, root))
+    keys = sorted(n)
+    return tuple(np.array(x, np.int64) for x in (keys, [-(-n[k] // rows) for k in keys], [most[k][1] for k in keys])) if keys else None
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -201,13 +323,11 @@ def groups(docs: DataFrame) -> DataFrame:
     id. Whole texts are read, other columns ignored; an empty table gives an
     empty result.
     """
-    bits = word_bits(docs.count())
-    prints = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _fingerprint(bits)("text").alias("f"))
+    prints = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.arrow_udf(_fingerprint, "array<long>").asNondeterministic()("text").alias("f"))
     prints = C.cut(prints.where(F.col("f").isNotNull()))
-    equal = prints.groupBy("f").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
-    equal = C.cut(equal)
+    equal = C.cut(prints.groupBy("f").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")))
     copies = prints.join(equal.where("n > 1"), "f").where("doc_id <> doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
-    links = C.cut(search(equal.select("doc", "f"), bits).unionByName(copies.distinct()))
+    links = search(equal.select("doc", "f")).unionByName(copies.distinct())
     return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("keeper_id"))
 
 
@@ -215,6 +335,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the copies: of each group the document with the least id stays, once.
 
     Rows with a null id stay; so do those in no group, of repeated rows one.
+    Null and empty texts are in no group. Other columns are kept as they are,
+    whatever their names; an empty table gives an empty result.
     """
     gone = groups(docs).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
     twice = C.cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(C.fresh(docs, "twice"))))

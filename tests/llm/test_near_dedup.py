@@ -8,8 +8,8 @@ from arraysail.llm import near_dedup as N
 
 def _brute(texts, ids):
     """Components of all pairs within the bound, and the pairs."""
-    bits = N.word_bits(len(ids))
-    f = N.fingerprints(texts, bits)
+    bits = N.BITS
+    f = N.fingerprints(texts)
     unpacked = ((f[:, :, None] >> np.arange(bits)) & 1).reshape(len(f), -1)
     parent = {i: i for i in ids}
 
@@ -62,23 +62,27 @@ def test_many_copies_and_near_copies(spark):
     assert {0, 1000, 2000, 3000, 4000} <= left and len(left) < 70
 
 
+def _keys(words, hot=None):
+    w = np.array(words, np.int64).reshape(-1, N.TABLES)
+    return N.variants(w, np.arange(len(w)), np.arange(len(w)), hot)
+
+
 def test_every_pair_within_the_radius_shares_a_variant():
     rng = np.random.default_rng(0)
-    import pyarrow as pa
-
     for _ in range(50):
-        word = int(rng.integers(0, 1 << 32))
+        word = int(rng.integers(0, 1 << N.BITS))
         other = word
-        for b in rng.choice(32, rng.integers(0, 3), replace=False):
+        for b in rng.choice(N.BITS, rng.integers(0, 3), replace=False):
             other ^= 1 << int(b)
-        got = [set(x.column(0).to_pylist()) for w in (word, other) for x in N._variants(32)([pa.RecordBatch.from_arrays([pa.array([w]), pa.array([1])], names=["key", "doc"])])]
-        assert got[0] & got[1]
+        got = [set((x := _keys([w] * N.TABLES))[0][: N.BITS + 1] >> 5) for w in (word, other)]
+        assert len(got[0]) == N.BITS + 1 and got[0] & got[1]
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501)], "a long, b long")
-    got = {r["node"]: r["root"] for r in N.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 201)) and got[501] == 500
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7)], "a long, b long").repartition(8)
+    for at_once in (N.EDGES_AT_ONCE, 0):
+        got = {r["node"]: r["root"] for r in N.components(edges, at_once).collect()}
+        assert got == {i: 0 for i in range(1, 201)} | {501: 500}
 
 
 def test_edges(spark, edge):
@@ -92,31 +96,95 @@ def test_edges(spark, edge):
     assert N.groups(common.empty(edge)).count() == 0 and N.keep(common.empty(edge)).count() == 0
 
 
-def test_a_bucket_gives_all_its_pairs():
-    import pyarrow as pa
+def _plain(f, near):
+    """The least member of each row's group, by all pairs that meet in a bucket and pass both bounds."""
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    count = lambda x: np.bitwise_count(x).sum(-1)
+    for i in range(len(f)):
+        bits = np.bitwise_count(f[i] ^ f[i + 1 :])
+        own = bits <= N.RADIUS
+        sketch = np.stack([bits[:, [2, 3]].sum(1) if t < 2 else bits[:, [0, 1]].sum(1) for t in range(N.TABLES)], 1)
+        # rows of one word meet by it, whatever their sketches
+        met = (own & ((sketch <= N.SKETCH_MOST) | (bits == 0))).any(1)
+        for j in np.flatnonzero(met & (count(f[i] ^ f[i + 1 :]) <= near)):
+            a, b = find(i), find(i + 1 + int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(f))]
+
+
+def _spread(rng, n, flips):
+    """``n`` distinct rows around one fingerprint."""
+    base = rng.integers(0, 1 << N.BITS, N.TABLES)
+    out = np.repeat(base[None], n, 0)
+    for row in out:
+        for x in rng.integers(0, N.TABLES * N.BITS, rng.integers(1, flips + 1)):
+            row[x // N.BITS] ^= 1 << int(x % N.BITS)
+    return np.unique(out, axis=0)
+
+
+def _groups(spark, f, **parameters):
+    rows = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(f)], "doc long, f array<long>").repartition(3)
+    got = {r["node"]: r["root"] for r in N.components(N.search(rows, **parameters)).collect()}
+    return [got.get(i, i) for i in range(len(f))]
+
+
+def test_the_same_groups_as_all_pairs_of_all_buckets(spark):
+    rng = np.random.default_rng(3)
+    f = np.concatenate([_spread(rng, n, k) for n, k in ((300, 8), (150, 30), (60, 45), (2, 30), (2, 30), (3, 40), (30, 60))] + [rng.integers(0, 1 << N.BITS, (100, N.TABLES))])
+    f[-60:, 4] = 77  # unrelated rows that share a word
+    f = rng.permutation(np.unique(f, axis=0))
+    want = _plain(f, int(N.MOST_DIFFERING * N.TABLES * N.BITS))
+    assert 100 < len(set(want)) < len(f) - 300
+    assert _groups(spark, f) == want
+    assert _groups(spark, f, hot_rows=7) == want  # hot buckets in parts
+
+
+def test_hot_rows_are_dealt_and_others_meet_them_all():
+    words = np.zeros((40, N.TABLES), np.int64)
+    root = np.zeros(40, np.int64)
+    root[:3] = np.arange(37, 40)
+    hot = N._hot([(t << N.BITS, 40, 0) for t in range(N.TABLES)], 10)
+    k, doc, _, _ = N.variants(words, np.arange(40), root, hot)
+    for r in range(40):
+        part = k[(doc == r) & (k >> N._FLIP & (1 << 32) - 1 == 0) & (k & 31 == 0)] >> N._ALL
+        assert len(part) == (4 if r < 3 else 1) and (part < 4).all()
 
-    # 1 and 5 are the same word, all others are one bit from 0b0; 9 is alone
-    words = {1: 0b1, 2: 0b10, 3: 0b100, 4: 0b1000, 5: 0b1, 9: 0xFFFF0000}
-    rows = list(N._variants(32)([pa.RecordBatch.from_arrays([pa.array(list(words.values())), pa.array(list(words))], names=["key", "doc"])]))
-    got = [p for b in N._meetings(rows) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert set(got) == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} and len(got) == len(set(got))
+
+def test_a_bucket_gives_all_its_pairs():
+    for n in (6, 200):
+        k = np.concatenate([np.zeros(n, np.int64) + (9 << 5), [8 << 5]])
+        root = np.concatenate([np.zeros(n - 4, np.int64), [1, 2, 2, 3, 4]])
+        doc = np.arange(n + 1)
+        got = [tuple(p) for x in N.meetings(k, doc, root, np.zeros(n + 1, np.int64)) for p in x.tolist()]
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b]}
+        assert set(got) == want
+        far = np.zeros(n + 1, np.int64)
+        far[n - 1] = (1 << 56) - 1
+        got = {tuple(p) for x in N.meetings(k, doc, root, far) for p in x.tolist()}
+        assert got == {p for p in want if n - 1 not in p}
 
 
 def test_a_pair_is_found_beside_unrelated_colliders(spark):
     rng = np.random.default_rng(4)
-    prints = rng.integers(0, 1 << 32, (40, N.TABLES))
+    prints = rng.integers(0, 1 << N.BITS, (40, N.TABLES))
     prints[:, 0] = 77  # all share one word
-    prints[33, 1:] = prints[7, 1:] ^ 7  # three bits differ in every other table
+    prints[33, 1:] = prints[7, 1:] ^ 1  # one bit differs in every other table
     rows = [(i, [int(x) for x in f]) for i, f in enumerate(prints)]
-    got = N.search(spark.createDataFrame(rows, "doc long, f array<long>"), 32).collect()
+    got = N.search(spark.createDataFrame(rows, "doc long, f array<long>")).collect()
     assert [(r["a"], r["b"]) for r in got] == [(7, 33)]
 
 
-def test_pairs_at_the_bound_are_found_alike_at_every_size():
+def test_pairs_at_the_bound_are_found():
     rng = np.random.default_rng(5)
-    for n in (10, 1_000_000, 12_000_000, 1_000_000_000):
-        bits = N.word_bits(n)
-        assert N.recall(bits) >= 0.9
-        differing = rng.random((4000, N.TABLES, bits)) < N.MOST_DIFFERING
-        assert (differing.sum(2) <= N.RADIUS).any(1).mean() > 0.88
+    assert N.recall() >= 0.9
+    differing = rng.random((20_000, N.TABLES, N.BITS)) < N.MOST_DIFFERING
+    n = differing.sum(2)
+    sketch = np.stack([n[:, 2] + n[:, 3] if t < 2 else n[:, 0] + n[:, 1] for t in range(N.TABLES)], 1)
+    assert ((n <= N.RADIUS) & (sketch <= N.SKETCH_MOST)).any(1).mean() > 0.89
     assert N.recall(36) < 0.9 and N.recall(40) < 0.9  # wider words would need more tables
