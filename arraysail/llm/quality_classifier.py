@@ -2,11 +2,13 @@
 
 Two bag-of-n-grams models (words, punctuation runs and their bigrams, hashed
 into buckets) are counted: one over the target text, one over all raw text. A
-document's log weight is the sum over its n-grams of ``log target - log raw``.
-Gumbel noise, a hash of the document id, is added to it and the ``k`` largest
-keys stay, which samples without replacement in proportion to the weights.
-``k`` is the number of documents whose log weight passes the border between
-the two labels, so that it follows the corpus.
+document's log weight is the mean over its n-grams of ``log target - log raw``
+(drawn to nought for short texts) times ``SHARPNESS``. The mean makes documents
+of any length compete alike; the sum would be hundreds of times the noise and
+the sampling a plain threshold. Gumbel noise, a hash of the document id, is
+added and the ``k`` largest keys stay, which samples without replacement in
+proportion to the weights. ``k`` is a share of the corpus, by default that of
+the documents whose log weight passes the border between the two labels.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BUCKETS = 1 << 15
 MAX_LABELLED = 20_000
 SEED = 42
 SLACK = 0.005
+#: Weight of a mean log ratio against the noise, whose deviation is 1.28, and n-grams of no evidence that are added to each text.
+SHARPNESS, SMOOTHING = 100.0, 50
 _FIND = re.compile(r"\w+|[^\w\s]+").findall
 _HASH = C.Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")), 100_000)
 
@@ -74,10 +78,12 @@ def fit(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
 
 
 def score_texts(texts: list[str], ratio: np.ndarray) -> np.ndarray:
+    """The log weight of each text."""
     out = np.zeros(len(texts))
     for i, j in C.slices(texts):
         bucket, row, _ = ngrams(texts[i:j])
-        out[i:j] = np.bincount(row, weights=ratio[bucket], minlength=j - i)
+        total = np.bincount(row, weights=ratio[bucket], minlength=j - i)
+        out[i:j] = SHARPNESS * total / (np.bincount(row, minlength=j - i) + SMOOTHING)
     return out
 
 
@@ -92,9 +98,9 @@ def scorer(spark: SparkSession, ratio: np.ndarray):
     return score.asNondeterministic()
 
 
-def gumbel(doc_id, seed: int = SEED):
+def gumbel(doc_id, seed=SEED):
     """Standard Gumbel noise from a hash of the id: the same at any partitioning."""
-    u = (F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(seed) if isinstance(seed, int) else seed), F.lit(1 << 53)).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
@@ -139,17 +145,22 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
         low, high = lo, hi
 
 
-def model(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED):
+def model(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED, share: float | None = None):
     """(ratio per bucket, scored documents (doc_id, log_weight, key), least key that stays).
 
-    ``max_labelled`` bounds the labelled rows that give the target text and the border.
+    ``max_labelled`` bounds the labelled rows that give the target text and the
+    border. ``share`` is the share of the rows that stay; without it, that of
+    the rows beyond the border.
     """
     labelled = C.cut(C.one_label(labels, "quality", max_labelled, seed))
     ratio = fit(docs, labelled)
     scored = docs.select("doc_id", scorer(spark, ratio)("text").alias("log_weight"))
     scored = C.cut(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
-    seen = scored.join(F.broadcast(labelled), F.col("doc_id") == F.col("__id")).select("log_weight", "__label").toPandas()
-    least = border(seen["log_weight"].to_numpy(), seen["__label"].to_numpy()) if len(seen) else -np.inf
+    if share is not None:
+        return ratio, scored, kth_largest(scored, "key", round(share * scored.count()))
+    # a row for each labelled document, however often it is repeated
+    seen = scored.join(F.broadcast(labelled), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.min("log_weight").alias("w"), F.min("__label").alias("y")).toPandas()
+    least = border(seen["w"].to_numpy(), seen["y"].to_numpy()) if len(seen) else -np.inf
     k = scored.where(F.col("log_weight") >= F.lit(float(least))).count()
     return ratio, scored, kth_largest(scored, "key", k)
 
@@ -167,7 +178,11 @@ def select(spark: SparkSession, docs: DataFrame, labels: DataFrame, **parameters
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that :func:`select` keeps, with all their columns; nothing is joined or shuffled."""
+    """The rows of ``docs`` that :func:`select` keeps, with all their columns; nothing is joined or shuffled.
+
+    Null, empty, repeated and very long texts, null ids, ties and empty tables
+    are treated as there; extra columns stay, whatever their names.
+    """
     ratio, _, least = model(spark, docs, labels, **parameters)
     name = C.fresh(docs, "weight")
     out = docs.withColumn(name, scorer(spark, ratio)(docs["text"]))
