@@ -63,12 +63,16 @@ class Model:
     def __init__(self, path: str = MODEL):
         self.text, score, kind = [], [], []
         with open(path, "rb") as f:
-            for field, piece in _fields(f.read()):
-                if field == 1:
-                    got = dict(_fields(piece))
-                    self.text.append(got[1].decode())
-                    score.append(float(np.frombuffer(got.get(2, b"\0\0\0\0"), "<f4")[0]))
-                    kind.append(got.get(3, 1))
+            fields = list(_fields(f.read()))
+        self._check(dict(fields))
+        for field, piece in fields:
+            if field == 1:
+                got = dict(_fields(piece))
+                self.text.append(got[1].decode())
+                score.append(float(np.frombuffer(got.get(2, b"\0\0\0\0"), "<f4")[0]))
+                kind.append(got.get(3, 1))
+        if unread := set(kind) - {1, 2, 3, 6}:
+            raise ValueError(f"pieces of kinds {sorted(unread)} (user-defined or unused) are not supported")
         self.kind, self.score = np.array(kind), score
         self.id = {t: i for i, t in enumerate(self.text) if kind[i] == 1}
         self.byte = np.full(256, -1)
@@ -86,6 +90,21 @@ class Model:
             self.code[row, : len(t)] = [ord(c) for c in t]
         self.out = [t.encode() if k == 1 else bytes([int(t[3:5], 16)]) if k == 6 else " \u2047 ".encode() if k == 2 else b"" for t, k in zip(self.text, kind)]
 
+    @staticmethod
+    def _check(fields: dict) -> None:
+        """Refuses models whose training or normaliser settings would give other ids than these functions do."""
+        trainer, normaliser = dict(_fields(fields.get(2, b""))), dict(_fields(fields.get(3, b"")))
+        for wrong, what in (
+            (trainer.get(3, 1) != 2, "models that don't merge pairs"),
+            (trainer.get(24, 0), "white space as a suffix"),
+            (normaliser.get(2, b""), "normalisers other than identity"),
+            (not normaliser.get(3, 1), "models without a space before the text"),
+            (normaliser.get(4, 1), "removal of extra white space"),
+            (not normaliser.get(5, 1), "white space that is not escaped"),
+        ):
+            if wrong:
+                raise ValueError(f"{what} are not supported")
+
     def merge(self, text: str) -> list[str]:
         """The model's merges, one best pair after the other (the first of equals); the plain way, for pairs and tests."""
         parts: list = list(text)
@@ -240,20 +259,32 @@ class Encoder:
         return order[at], np.repeat(self.model.ordinary[rows], n)
 
     def add(self, stretches: list[str]) -> None:
-        """Encodes stretches that are not held yet."""
-        plain, other = [], []
-        chars = self.model.chars
-        for s in stretches:
-            (plain if chars.issuperset(s) and len(s) <= 400 else other).append(s)
+        """Encodes stretches that are not held yet; a character that no piece holds is a boundary inside them."""
+        chars, at = self.model.chars, self.at
+        mixed = {s: self.runs(s) for s in stretches if not chars.issuperset(s)}
+        plain = {s for s in stretches if s not in mixed}
+        plain.update(r for runs in mixed.values() for r in runs if r not in at and chars.issuperset(r))
+        # long ones come last and together: there are as many rounds as characters in the longest
+        plain = sorted(plain, key=len)
         for i in range(0, len(plain), AT_ONCE):
             self._relax(plain[i : i + AT_ONCE])
-        done = [self.model.ids(self._long(s)) for s in other]
-        if other:
-            self._hold(other, np.array([x for d in done for x in d], np.int32), np.array([len(d) for d in done]))
-
-    def _long(self, s: str) -> list[str]:
-        """Stretches with characters that no piece holds, each a boundary, and very long ones."""
-        return self.model.merge(s)
+        if mixed:
+            parts = [[self._held(r) if r in at else self.model.ids([r]) for r in runs] for runs in mixed.values()]
+            done = [[x for p in x for x in p] for x in parts]
+            self._hold(list(mixed), np.array([x for d in done for x in d], np.int32), np.array([len(d) for d in done]))
+
+    def runs(self, s: str) -> list[str]:
+        """The longest stretches of characters that pieces hold, and the other characters one by one."""
+        out, start, chars = [], 0, self.model.chars
+        for i, c in enumerate(s):
+            if c not in chars:
+                out += [s[start:i], c] if i > start else [c]
+                start = i + 1
+        return out + [s[start:]] if start < len(s) else out
+
+    def _held(self, stretch: str) -> list[int]:
+        i = self.at[stretch]
+        return self.flat[self.start[i] : self.start[i] + self.count[i]].tolist()
 
     def _relax(self, stretches: list[str]) -> None:
         text = np.frombuffer("\0".join(stretches).encode("utf-32-le") + b"\0\0\0\0", np.uint32).astype(np.int64)
@@ -261,7 +292,7 @@ class Encoder:
         first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         start, piece = self.edges(text)
         length = self.model.length[piece]
-        end = (start - np.repeat(first, size + 1)[start] + length).astype(np.uint16)
+        end = (start - np.repeat(first, size + 1)[start] + length).astype(np.int32)
         order = np.argsort(end, kind="stable")
         start, piece, length = start[order], piece[order], length[order]
         stops = np.cumsum(np.bincount(end))
@@ -322,8 +353,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip): the ids of each whole text, and whether they decode to the text again.
 
     Null and empty texts have no ids. A text that holds U+2581 decodes to a
-    space in its place, so its ``round_trip`` is false. Repeated rows give a row
-    each; other columns are ignored; an empty table gives an empty result.
+    space in its place, so its ``round_trip`` is false. Stretches of any length
+    are encoded alike. Repeated rows give a row each; other columns are ignored; an empty table gives an empty result.
     """
 
     def f(batches):

@@ -1,5 +1,6 @@
 import common
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,3 +62,40 @@ def test_edge_cases(spark, edge):
     assert by[105]["ids"] == REFERENCE.encode("x" * 300_000)
     assert P.encode(common.empty(edge)).count() == 0
     assert P.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect()[0]["text"] is None
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _with(field, settings):
+    """The model file with one message replaced by its old content and ``settings``."""
+    with open(P.MODEL, "rb") as f:
+        raw = f.read()
+    old = dict(P._fields(raw))[field]
+    new = old + b"".join(_varint(k << 3) + _varint(v) for k, v in settings.items())
+    head = _varint(field << 3 | 2)
+    return raw.replace(head + _varint(len(old)) + old, head + _varint(len(new)) + new)
+
+
+@pytest.mark.parametrize(("field", "settings", "what"), [(3, {4: 1}, "white space"), (3, {3: 0}, "space before"), (2, {3: 1}, "merge pairs"), (2, {24: 1}, "suffix"), (3, {5: 0}, "escaped")])
+def test_models_that_would_be_read_wrongly_are_refused(tmp_path, field, settings, what):
+    path = tmp_path / "m.model"
+    path.write_bytes(_with(field, {}))
+    P.Model(str(path))
+    path.write_bytes(_with(field, settings))
+    with pytest.raises(ValueError, match=what):
+        P.Model(str(path))
+
+
+def test_long_stretches_and_unknown_characters_match_a_public_tokenizer():
+    import random
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(5000))
+    mixed = "".join(rng.choice("abcde漢字\U0001f600\U00010348\u0b83") for _ in range(3000))
+    texts = [long, mixed, f"{long[:401]} {mixed} {long[7:900]}", "\U00010348" * 700, "ab\U00010348cd"]
+    assert _ids(texts) == [REFERENCE.encode(t) for t in texts]
