@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-#: Words of a test phrase; shorter items are one phrase, those under LEAST_WORDS are too common to mean anything.
-PHRASE, LEAST_WORDS = 8, 4
+#: Words of a test phrase; shorter items are one phrase. Items under ``LEAST_WORDS`` words are no phrase: by default only those without a word.
+PHRASE, LEAST_WORDS = 8, 1
 SAMPLE = 8
 SHARD_BYTES = 8_000_000
 _WORD = re.compile(r"\w+")
@@ -37,14 +37,14 @@ def fold(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def phrases(items: list[str | None]) -> tuple[dict[str, int], dict[int, np.ndarray]]:
+def phrases(items: list[str | None], least_words: int = LEAST_WORDS) -> tuple[dict[str, int], dict[int, np.ndarray]]:
     """Word numbers from 2 on, and the distinct phrases by their length."""
     vocabulary: dict[str, int] = {}
     found: dict[int, set] = {}
     for item in items:
         words = _WORD.findall(fold(item or ""))
         n = min(PHRASE, len(words))
-        if n < LEAST_WORDS:
+        if n < max(1, least_words):
             continue
         ids = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words]
         found.setdefault(n, set()).update(tuple(ids[i : i + n]) for i in range(len(ids) - n + 1))
@@ -184,12 +184,11 @@ def shard_hits(texts: list[str], vocabulary: dict[str, int], by_length: dict[int
         first.append(at)
         last.append(at + length)
     first, last = np.concatenate(first), np.concatenate(last)
-    out: dict[int, list[tuple[int, int]]] = {}
     doc = np.searchsorted(ends, first, side="right")
-    for d in np.unique(doc):
-        begin, mine = int(ends[d] - n[d]), doc == d
-        out[int(d)] = list(zip((first[mine] - begin).tolist(), (last[mine] - begin).tolist()))
-    return out
+    order = np.argsort(doc, kind="stable")
+    found, at = np.unique(doc[order], return_index=True)
+    begin = ends[found] - n[found]
+    return {int(d): list(zip((first[i] - b).tolist(), (last[i] - b).tolist())) for d, b, i in zip(found, begin, np.split(order, at[1:]))}
 
 
 def merged(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,8 +219,8 @@ PART_CHARS = 4_000_000
 class _Parts:
     """The phrases of the benchmark in broadcast parts of bounded size, of which a task holds one at a time."""
 
-    def __init__(self, spark: SparkSession, benchmark: DataFrame):
-        self.parts, items, size = [], [], 0
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, least_words: int = LEAST_WORDS):
+        self.parts, self.least_words, items, size = [], least_words, [], 0
         for (text,) in benchmark.select("text").toLocalIterator():
             items.append(text)
             size += len(text or "")
@@ -231,7 +230,7 @@ class _Parts:
         self._add(spark, items)
 
     def _add(self, spark: SparkSession, items: list[str | None]) -> None:
-        part = phrases(items)
+        part = phrases(items, self.least_words)
         if part[1]:
             self.parts.append(spark.sparkContext.broadcast(part))
 
@@ -242,9 +241,9 @@ class _Parts:
                 b.__dict__.pop("_value", None)  # read again from the local copy when it is needed
 
 
-def _finder(spark: SparkSession, benchmark: DataFrame):
+def _finder(spark: SparkSession, benchmark: DataFrame, least_words: int):
     """A function from a column of texts to (index, text, spans) of those that hold a phrase; a slice of the column is a shard."""
-    parts = _Parts(spark, benchmark)
+    parts = _Parts(spark, benchmark, least_words)
 
     def find(column: pa.Array):
         if parts.parts:
@@ -255,14 +254,15 @@ def _finder(spark: SparkSession, benchmark: DataFrame):
     return find
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, spans, cleaned) of the documents that hold test phrases: merged spans [start, end) in characters, and the text without them.
 
-    Null texts and items are empty; empty texts hold nothing. Items under
-    ``LEAST_WORDS`` words are ignored. Repeated rows give a row each. Whole
+    Null texts and items are empty; empty texts hold nothing. Items of
+    fewer than ``least_words`` words are left out; by default every item with a
+    word is searched. Repeated rows give a row each. Whole
     texts are searched; other columns are ignored. Empty tables give an empty result.
     """
-    find = _finder(spark, benchmark)
+    find = _finder(spark, benchmark, least_words)
 
     def f(batches):
         for b in batches:
@@ -285,9 +285,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the spans taken out of ``text`` and ``n_chars`` counted anew where it is there; rows without a hit are unchanged."""
-    find = _finder(spark, benchmark)
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the spans taken out of ``text`` and ``n_chars`` counted anew where it is there; rows without a hit are unchanged.
+
+    Null, empty, repeated and very long texts and empty tables are treated as in
+    :func:`contaminated`; null texts stay null and extra columns stay as they are.
+    """
+    find = _finder(spark, benchmark, least_words)
 
     def f(text: pa.Array) -> pa.Array:
         new = {i: without(t, spans) for i, t, spans in find(text)}

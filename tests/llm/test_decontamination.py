@@ -98,3 +98,12 @@ def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
     whole = plain()
     monkeypatch.setattr(D, "PART_CHARS", 300)
     assert len(D._Parts(spark, bench).parts) > 2 and plain() == whole
+
+
+def test_short_items_are_searched_unless_a_bound_is_given(spark):
+    docs = spark.createDataFrame([(1, "the capital is Paris indeed"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Paris"), (2, "capital is"), (3, "?"), (4, None)], "item_id long, text string")
+    got = D.contaminated(spark, docs, bench).collect()
+    assert [(r["doc_id"], [tuple(x) for x in r["spans"]]) for r in got] == [(1, [(4, 20)])]
+    assert D.contaminated(spark, docs, bench, least_words=3).count() == 0
+    assert {r["doc_id"]: r["text"] for r in D.clean(spark, docs, bench).collect()} == {1: "the  indeed", 2: "nothing", 3: None}
