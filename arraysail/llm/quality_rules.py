@@ -5,8 +5,10 @@ source) the minimum covariance determinant is estimated by concentration steps
 over *all* its rows: squared distances under the present centre and scatter,
 their ``h`` quantile, and the moments of the rows below it. Two deterministic
 starts compete and the smaller determinant wins. All steps are grouped
-aggregates, so a hot source is spread over all tasks. Rows whose Mahalanobis
-distance is beyond the cut are rejected.
+aggregates, so a hot source is spread over all tasks. Steps go on until no
+determinant changes. A source's estimate is drawn towards that of its language
+by ``PRIOR_ROWS`` rows' weight, so that a few rows alone say little; there is no
+least size. Rows whose Mahalanobis distance is beyond the cut are rejected.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-#: Share of rows whose scatter is minimised, concentration steps, and the least rows of a group with an estimate of its own.
-SUPPORT, STEPS, LEAST_ROWS = 0.7, 4, 60
+#: Share of rows whose scatter is minimised, and the weight in rows of a language's estimate in that of each of its sources.
+SUPPORT, PRIOR_ROWS = 0.7, 100
+#: Steps end when no log determinant changes by more, and at the latest after so many.
+TOLERANCE, MOST_STEPS = 1e-2, 30
 #: Scatter is estimated for each group, then this much (in units of the transformed statistics) is added to each spread.
 FLOOR = 0.3
 #: Squared distance beyond which a row goes: the 1 - 1e-6 quantile of chi-squared with 7 degrees of freedom.
@@ -160,19 +164,21 @@ def _moved(rows: DataFrame, e: DataFrame) -> DataFrame:
     return C.cut(sums.where("n > 0").mapInPandas(_estimates, _SCHEMA))
 
 
-def fit(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """(g, centre, scatter) from rows (g, x): the better of two starts after ``steps`` concentration steps."""
+def fit(rows: DataFrame, support: float = SUPPORT, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(g, centre, scatter) from rows (g, x): the better of two starts when the concentration steps have come to rest."""
     x = F.col("x")
     quantiles = F.flatten(F.array(*(F.percentile_approx(x[i], [0.25, 0.5, 0.75], 2000) for i in range(P)))).alias("q")
     first = rows.groupBy("g").agg(F.count("*").alias("n"), quantiles).withColumn("start", F.lit(0))
     first = C.cut(first.mapInPandas(_started, _SCHEMA))
     near = ["g", "start", "centre", "inverse"]
-    now = first.unionByName(_moved(rows, first.select(*near)).withColumn("start", F.lit(1)))
-    for _ in range(steps):
-        e = C.cut(now.select(*near))
+    now = C.cut(first.unionByName(_moved(rows, first.select(*near)).withColumn("start", F.lit(1))))
+    for _ in range(most_steps):
+        e = now.select(*near)
         d = rows.join(_small(e), "g").select("x", *near).mapInArrow(_distances, "g string, start int, d double")
         h = d.groupBy("g", "start").agg(F.percentile_approx("d", support, 5000).alias("h"))
-        now = _moved(rows, C.cut(e.join(h, ["g", "start"])))
+        before, now = now.select("g", "start", F.col("logdet").alias("before")), _moved(rows, C.cut(e.join(h, ["g", "start"])))
+        if (now.join(before, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0] or 0) <= TOLERANCE:
+            break
     best = now.groupBy("g").agg(F.min_by(F.struct("centre", "scatter"), F.struct("logdet", "start")).alias("b"))
     return best.select("g", "b.*")
 
@@ -181,32 +187,41 @@ def fit(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFr
 _MEDIAN = 6.3458
 
 
-def _scaled(parts):
-    """Makes the scatter consistent: the median squared distance becomes that of chi-squared."""
+def _inverted(parts):
     for p in parts:
-        s = np.array(p["scatter"].tolist(), float).reshape(len(p), P, P) * np.maximum(p["factor"].to_numpy(float), 1)[:, None, None]
+        s = np.array(p["scatter"].tolist(), float).reshape(len(p), P, P)
         yield pd.DataFrame({"g": p["g"], "centre": p["centre"], "inverse": list(np.linalg.inv(s).reshape(len(p), -1))})
 
 
+def _drawn(parts):
+    """Estimates of sources drawn to those of their languages, both with a scatter whose median squared distance is that of chi-squared."""
+    for p in parts:
+        array = lambda c: np.array(p[c].tolist(), float).reshape(len(p), -1)
+        w = (p["n"].to_numpy(float) / (p["n"].to_numpy(float) + PRIOR_ROWS))[:, None]
+        c = w * array("centre") + (1 - w) * array("lang_centre")
+        s = w * array("scatter") * np.maximum(array("factor"), 1) + (1 - w) * array("lang_scatter") * np.maximum(array("lang_factor"), 1)
+        yield pd.DataFrame({"g": p["g"], "centre": list(c), "inverse": list(np.linalg.inv(s.reshape(-1, P, P)).reshape(len(p), -1))})
+
+
 def _key(*columns):
     """One string for a group; nulls differ from every string."""
     return F.concat_ws("\u0001", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in columns))
 
 
-def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors (doc_id, lang, source, g, x), estimates (g, centre, inverse), groups (own, g)), all in the shared folder.
+_MODEL = "g string, centre array<double>, inverse array<double>"
 
-    Sources with under ``LEAST_ROWS`` rows share one group of their language.
-    """
-    rows = C.cut(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("own", _key(F.col("lang"), F.col("source"))))
-    own = rows.groupBy("own", "lang").agg(F.count("*").alias("n"))
-    own = C.cut(own.select("own", F.when(F.col("n") >= LEAST_ROWS, F.col("own")).otherwise(_key(F.col("lang"))).alias("g")))
-    rows = C.cut(rows.join(_small(own), "own").drop("own"))
-    e = C.cut(fit(rows.select("g", "x")))
-    one = C.cut(e.mapInPandas(lambda parts: _scaled(p.assign(factor=1.0) for p in parts), "g string, centre array<double>, inverse array<double>"))
-    d = rows.select("g", "x").join(_small(one), "g").withColumn("start", F.lit(0)).mapInArrow(_distances, "g string, start int, d double")
-    e = e.join(d.groupBy("g").agg((F.percentile_approx("d", 0.5, 5000) / _MEDIAN).alias("factor")), "g")
-    return rows, C.cut(e.mapInPandas(_scaled, "g string, centre array<double>, inverse array<double>")), own
+
+def model(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors (doc_id, lang, source, g, lang_g, x), estimates (g, centre, inverse) of the sources), both in the shared folder."""
+    rows = with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    rows = C.cut(rows.withColumns({"g": _key(F.col("lang"), F.col("source")), "lang_g": _key(F.col("lang"))}))
+    both = rows.select(F.explode(F.array("g", "lang_g")).alias("g"), "x")
+    e = C.cut(fit(both))
+    d = both.join(_small(C.cut(e.mapInPandas(_inverted, _MODEL))), "g").withColumn("start", F.lit(0)).mapInArrow(_distances, "g string, start int, d double")
+    e = C.cut(e.join(d.groupBy("g").agg((F.percentile_approx("d", 0.5, 5000) / _MEDIAN).alias("factor")), "g"))
+    sources = rows.groupBy("g", "lang_g").agg(F.count("*").alias("n"))
+    lang = e.select(F.col("g").alias("lang_g"), *(F.col(c).alias(f"lang_{c}") for c in ("centre", "scatter", "factor")))
+    return rows, C.cut(sources.join(e, "g").join(lang, "lang_g").mapInPandas(_drawn, _MODEL))
 
 
 def _squared(x: pa.Array, centre: pa.Array, inverse: pa.Array) -> pa.Array:
@@ -225,16 +240,20 @@ def select(docs: DataFrame, cut: float = CUT) -> DataFrame:
     statistics, near the centre. Repeated rows and ties are judged alike. Texts
     are read whole; other columns are ignored. An empty table gives an empty result.
     """
-    rows, e, _ = model(docs)
+    rows, e = model(docs)
     d = F.sqrt(F.arrow_udf(_squared, "double")("x", "centre", "inverse"))
     d = rows.join(_small(e), "g").select("doc_id", "lang", "source", d.alias("distance"))
     return d.where(F.col("distance") <= float(np.sqrt(cut))).withColumn("kept", F.lit(True))
 
 
 def keep(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` that :func:`select` keeps, with all their columns."""
-    _, e, own = model(docs)
+    """The rows of ``docs`` that :func:`select` keeps, with all their columns.
+
+    Null, empty, repeated and very long texts, null languages and sources and
+    empty tables are treated as there; extra columns stay, whatever their names.
+    """
+    _, e = model(docs)
     o, c, v = (C.fresh(docs, n) for n in ("own", "centre", "inverse"))
-    e = C.cut(own.join(e, "g").select(F.col("own").alias(o), F.col("centre").alias(c), F.col("inverse").alias(v)))
+    e = C.cut(e.select(F.col("g").alias(o), F.col("centre").alias(c), F.col("inverse").alias(v)))
     d = docs.withColumn(o, _key(docs["lang"], docs["source"])).join(_small(e), o)
     return d.where(F.arrow_udf(_text_squared, "double")(docs["text"], c, v) <= cut).drop(o, c, v)

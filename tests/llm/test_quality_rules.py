@@ -17,22 +17,55 @@ def _estimate(x):
 
 
 def _plain(x):
-    """The same two starts and concentration steps, in numpy."""
+    """The same two starts and concentration steps until rest, in numpy."""
     q = np.array([[_quantile(c, p) for p in (0.25, 0.5, 0.75)] for c in x.T])
     m, s = q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2 + R.FLOOR**2)
     spread = 1 / np.sqrt(np.diag(np.linalg.inv(s)))
-    starts = [(m, s), _estimate(m + spread * np.tanh((x - m) / spread))]
-    found = []
-    for m, s in starts:
-        for _ in range(R.STEPS):
-            d = R.distance(x, m, np.broadcast_to(np.linalg.inv(s), (len(x), R.P, R.P)))
-            m, s = _estimate(x[d <= _quantile(d, R.SUPPORT)])
-        found.append((np.linalg.slogdet(s)[1], m, s))
-    _, m, s = min(found, key=lambda f: f[0])
+    now = [(m, s), _estimate(m + spread * np.tanh((x - m) / spread))]
+    for _ in range(R.MOST_STEPS):
+        before, now = now, [_step(x, *e) for e in now]
+        if max(abs(_logdet(a) - _logdet(b)) for a, b in zip(before, now)) <= R.TOLERANCE:
+            break
+    m, s = min(now, key=_logdet)
     d = R.distance(x, m, np.broadcast_to(np.linalg.inv(s), (len(x), R.P, R.P)))
     return d / max(_quantile(d, 0.5) / R._MEDIAN, 1)
 
 
+def _logdet(e):
+    return np.linalg.slogdet(e[1])[1]
+
+
+def _step(x, m, s):
+    d = R.distance(x, m, np.broadcast_to(np.linalg.inv(s), (len(x), R.P, R.P)))
+    return _estimate(x[d <= _quantile(d, R.SUPPORT)])
+
+
+def test_least_determinant_of_all_subsets(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    groups = {}
+    for k in range(3):
+        x = rng.normal(size=(12, R.P)) * (1 + np.arange(R.P) / 2) + k
+        x[:3] += rng.choice([-1, 1], R.P) * 30
+        groups[f"g{k}"] = x
+    rows = [(g, r.tolist()) for g, x in groups.items() for r in x]
+    got = {r["g"]: r for r in R.fit(spark.createDataFrame(rows, "g string, x array<double>").repartition(3)).collect()}
+    h = int(np.ceil(R.SUPPORT * 12))
+    for g, x in groups.items():
+        m, s = min((_estimate(x[list(c)]) for c in combinations(range(12), h)), key=_logdet)
+        assert got[g]["centre"] == pytest.approx(m.tolist()) and np.allclose(np.array(got[g]["scatter"]).reshape(R.P, R.P), s)
+
+
+def test_small_sources_are_drawn_to_their_language(spark):
+    rng = random.Random(5)
+    text = lambda: common.words(rng, 60)
+    for n in (1, 5, 59, 61):
+        rows = [(i, text(), "en", "large") for i in range(300)] + [(1000 + i, text(), "en", "small") for i in range(n)] + [(5000, "#@$%! " * 80, "en", "small")]
+        kept = {r["doc_id"] for r in R.select(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert len(kept) > 0.99 * (300 + n) and 5000 not in kept
+
+
 def test_distances_match_a_plain_computation(spark):
     docs = common.table(spark, "documents", "/root/testdata/sf0.01").limit(400).persist()
     one = docs.selectExpr("doc_id", "text", "'en' as lang", "'web' as source")
