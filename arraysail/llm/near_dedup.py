@@ -5,7 +5,9 @@ distinct words. In each table two words within ``RADIUS`` = 2 bits share at
 least one variant of at most one flipped bit (half the radius), so every
 word emits its ``BITS + 1`` variants, rows meet by a shuffle on the variant, and
 the pairs of a bucket are verified over all bits of the fingerprint. Verified
-pairs are joined into groups by connected components.
+pairs are joined into groups by connected components. The shuffle goes by the
+first bits of the variant, as many as the logarithm of the rows: the variants
+that agree in them travel as one row and are written out where they arrive.
 
 Width, radius and number of tables are the same at every size, chosen so that a
 pair at the bound of ``MOST_DIFFERING`` is found with a chance of over 0.9
@@ -16,9 +18,9 @@ stand for one row. Rows of an equal word are first compared with the least of
 them, and verified links give each row a root; a bucket then compares only rows
 of different roots, which loses no connection: what it leaves out is in one
 group already. A row carries a sketch of its other words, by which unrelated
-rows of a bucket are told apart before anything is written. Buckets that hold
-more than ``HOT`` rows are split: rows of their main root go to one part each,
-all others to every part.
+rows of a bucket are told apart before anything is written. Buckets of common
+first bits with more than ``HOT`` rows are split: rows of their main root go to
+one part each, all others to every part.
 """
 
 from __future__ import annotations
@@ -41,15 +43,15 @@ MOST_DIFFERING = 0.14
 #: Differing bits of two sketches (two words of other tables) up to which a pair is verified; a pair at the bound has more in one of 2 000 cases.
 SKETCH_MOST = 17
 _FIND = re.compile(r"\w+").findall
-#: Rows of variants that one task sorts at once, and rows of one bucket that a task takes.
+#: Variants that one task sorts at once, and rows with the same first bits that a task takes.
 ROWS_PER_TASK, HOT = 800_000, 50_000
-#: Hot words that the driver names at most; ``HOT`` grows where there would be more.
-MOST_HOT = 20_000
+#: Rows that share their first bits, on average, and hot first bits that the driver names at most; ``HOT`` grows where there would be more.
+ROWS_TOGETHER, MOST_HOT = 2_000, 20_000
 #: Edges (16 bytes each) whose components one task finds.
 EDGES_AT_ONCE = 1_000_000
 #: Buckets up to this size are compared side by side.
 _SMALL = 48
-#: Bits of a variant's row below the key, for the flipped bit, and of the key with them; parts of a hot bucket are numbered above.
+#: Bits below the key, for the number of the flipped bit, and of the key with them; parts are numbered above.
 _FLIP, _ALL = 5, 37
 
 
@@ -112,25 +114,26 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 _ROW = "k long, doc long, root long, sketch long"
 
 
-def variants(words: np.ndarray, doc: np.ndarray, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
-    """(k, doc, root, sketch) of all variants of (rows, TABLES) words.
+def senders(words: np.ndarray, doc: np.ndarray, root: np.ndarray, top: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(k, doc, root, sketch): each word as it is, and with each one of its ``top`` first bits flipped.
 
     ``k`` is the part, the table, the variant and the number of its flipped bit
-    (0 for none). ``hot`` has the sorted keys of hot buckets, their parts and
-    main roots.
+    (0 for none). ``hot`` has the sorted first bits (with the table) that are
+    dealt to parts, the number of parts and the main root of each.
     """
-    flips = np.concatenate([[0], np.int64(1) << np.arange(BITS, dtype=np.int64)])
-    tables = np.arange(TABLES, dtype=np.int64)
+    flips = np.concatenate([[0], np.int64(1) << np.arange(BITS - top, BITS, dtype=np.int64)])
+    number = np.concatenate([[0], np.arange(BITS - top, BITS) + 1])
+    tables, n = np.arange(TABLES, dtype=np.int64), top + 1
     key = ((words | (tables << BITS))[:, :, None] ^ flips).reshape(-1)
     # the sketch is the words of two tables that are not the row's own
     sketch = np.where(tables < 2, (words[:, 2] << BITS | words[:, 3])[:, None], (words[:, 0] << BITS | words[:, 1])[:, None])
-    n = BITS + 1
     sketch = np.repeat(sketch.reshape(-1), n)
     doc, root = np.repeat(doc, TABLES * n), np.repeat(root, TABLES * n)
-    k = key << _FLIP | np.tile(np.arange(n, dtype=np.int64), len(key) // n)
+    k = key << _FLIP | np.tile(number, len(key) // n)
     if hot is not None and len(hot[0]):
-        at = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
-        parts = np.where(hot[0][at] == key, hot[1][at], 1)
+        first = key >> (BITS - top)
+        at = np.minimum(np.searchsorted(hot[0], first), len(hot[0]) - 1)
+        parts = np.where(hot[0][at] == first, hot[1][at], 1)
         one = (parts == 1) | (root == hot[2][at])
         part = np.where(parts == 1, 0, (doc * np.int64(0x9E3779B1) >> 8) % parts)
         times = np.where(one, 1, parts)
@@ -140,16 +143,24 @@ def variants(words: np.ndarray, doc: np.ndarray, root: np.ndarray, hot: tuple[np
     return k, doc, root, sketch
 
 
-def _variants(hot):
-    """(doc, root, f) to the rows of :func:`variants`."""
+def variants(k: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """All variants with the first bits of the rows of :func:`senders`, and the row of each."""
+    own = np.flatnonzero(k & ((1 << _FLIP) - 1) == 0)
+    bits = np.arange(BITS - top, dtype=np.int64)
+    more = (k[own, None] ^ (np.int64(1) << (bits + _FLIP))) | (bits + 1)
+    return np.concatenate([k, more.ravel()]), np.concatenate([np.arange(len(k)), np.repeat(own, len(bits))])
+
+
+def _senders(top: int, hot):
+    """(doc, root, f) to the rows of :func:`senders`."""
 
     def f(batches):
         for b in batches:
             words = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
             doc, root = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i in range(0, len(doc), 512):
-                j = i + 512
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in variants(words[i:j], doc[i:j], root[i:j], hot.value)], names=["k", "doc", "root", "sketch"])
+            for i in range(0, len(doc), 1024):
+                j = i + 1024
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in senders(words[i:j], doc[i:j], root[i:j], top, hot.value)], names=["k", "doc", "root", "sketch"])
 
     return f
 
@@ -199,18 +210,32 @@ def meetings(k: np.ndarray, doc: np.ndarray, root: np.ndarray, sketch: np.ndarra
             yield near(np.full(n, x), here)
 
 
-def _meetings(batches):
-    parts = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)) for b in batches]
-    if not parts:
-        return
-    held, n = [], 0
-    for pairs in meetings(*(np.concatenate(x) for x in zip(*parts))):
-        held.append(pairs)
-        n += len(pairs)
-        if n >= 1_000_000:
-            yield from _distinct(held)
-            held, n = [], 0
-    yield from _distinct(held)
+def _meetings(top: int):
+    def f(batches):
+        parts = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)) for b in batches]
+        if not parts:
+            return
+        k, *rest = (np.concatenate(x) for x in zip(*parts))
+        first = k >> (_FLIP + BITS - top)
+        order = np.argsort(first, kind="stable")
+        first = first[order]
+        ends = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(first))
+        held, n, start = [], 0, 0
+        while start < len(first):
+            # whole groups of common first bits, up to a number of rows
+            stop = int(ends[min(np.searchsorted(ends, start + ROWS_PER_TASK // (BITS - top + 1)), len(ends) - 1)])
+            here, start = order[start:stop], stop
+            all_k, row = variants(k[here], top)
+            row = here[row]
+            for pairs in meetings(all_k, *(x[row] for x in rest)):
+                held.append(pairs)
+                n += len(pairs)
+                if n >= 1_000_000:
+                    yield from _distinct(held)
+                    held, n = [], 0
+        yield from _distinct(held)
+
+    return f
 
 
 def _distinct(held: list[np.ndarray]):
@@ -282,37 +307,35 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return pairs.join(fa, "a").join(fb, "b").where(differing <= int(MOST_DIFFERING * TABLES * BITS)).select("a", "b")
 
 
-def search(prints: DataFrame, hot_rows: int = HOT) -> DataFrame:
+def search(prints: DataFrame, hot_rows: int = HOT, top: int | None = None) -> DataFrame:
     """Verified links (a, b) between documents (doc, f), f the words of all tables.
 
-    They join exactly what all verified pairs of all buckets would join.
+    They join exactly what all verified pairs of all buckets would join. ``top``,
+    the first bits by which rows meet, and ``hot_rows`` change no result.
     """
     spark = prints.sparkSession
     key = F.col("col").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), BITS)).alias("key")
     words = prints.select("doc", F.posexplode("f")).select(key, "doc")
-    least = C.cut(words.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    least = words.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     near = words.join(least, "key").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
     first = components(_verified(near, prints))
-    rooted = prints.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "f")
-    rooted = C.cut(rooted)
+    rooted = C.cut(prints.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "f"))
     n = rooted.count()
-    hot_rows = max(hot_rows, n * TABLES // MOST_HOT)
-    hot = spark.sparkContext.broadcast(_hot(least.where(F.col("n") > hot_rows).join(rooted.select(F.col("doc").alias("least"), "root"), "least").select("key", "n", "root").collect(), hot_rows))
+    top = min(BITS, max(6, math.ceil(math.log2(max(n, 1) / ROWS_TOGETHER)))) if top is None else top
+    hot = spark.sparkContext.broadcast(_hot(rooted, top, max(hot_rows, n * TABLES // MOST_HOT)))
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n * TABLES * (BITS + 1) / ROWS_PER_TASK))
-    rows = rooted.mapInArrow(_variants(hot), _ROW)
-    pairs = rows.repartition(tasks, F.shiftright("k", _FLIP)).mapInArrow(_meetings, "a long, b long").distinct()
+    rows = rooted.mapInArrow(_senders(top, hot), _ROW)
+    pairs = rows.repartition(tasks, F.shiftright("k", _FLIP + BITS - top)).mapInArrow(_meetings(top), "a long, b long").distinct()
     return _verified(pairs, prints).unionByName(first.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
-def _hot(words: list, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Keys of the buckets around hot words (key, n, root), the parts of each and the root of the most rows."""
-    n, most = {}, {}
-    for key, count, root in words:
-        for x in (0, *(1 << i for i in range(BITS))):
-            n[key ^ x] = n.get(key ^ x, 0) + count
-            most[key ^ x] = max(most.get(key ^ x, (0, 0)), (count, root))
-    keys = sorted(n)
-    return tuple(np.array(x, np.int64) for x in (keys, [-(-n[k] // rows) for k in keys], [most[k][1] for k in keys])) if keys else None
+def _hot(rooted: DataFrame, top: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bits (with the table) of more than ``rows`` rows, the parts of each and the root of the most rows."""
+    first = F.shiftright(F.col("col").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), BITS)), BITS - top).alias("first")
+    by = rooted.select("root", F.posexplode("f")).select("root", first).groupBy("first", "root").agg(F.count("*").alias("n"))
+    # at most TABLES times all rows by ``rows``, which is MOST_HOT at most
+    found = by.groupBy("first").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("root")).where(F.col("all") > rows).orderBy("first").collect()
+    return tuple(np.array(x, np.int64) for x in ([r["first"] for r in found], [-(-r["all"] // rows) for r in found], [r["root"] for r in found]))
 
 
 def groups(docs: DataFrame) -> DataFrame:
