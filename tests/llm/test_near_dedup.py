@@ -62,9 +62,11 @@ def test_many_copies_and_near_copies(spark):
     assert {0, 1000, 2000, 3000, 4000} <= left and len(left) < 70
 
 
-def _keys(words, hot=None):
-    w = np.array(words, np.int64).reshape(-1, N.TABLES)
-    return N.variants(w, np.arange(len(w)), np.arange(len(w)), hot)
+def _keys(word, top):
+    """The variants of a word in the first table, by key, with the flipped bit."""
+    w = np.full((1, N.TABLES), word, np.int64)
+    k = N.variants(N.senders(w, np.zeros(1, np.int64), np.zeros(1, np.int64), top)[0], top)[0]
+    return {int(x >> 5): int(x & 31) for x in k if x >> 5 >> N.BITS == 0}
 
 
 def test_every_pair_within_the_radius_shares_a_variant():
@@ -74,8 +76,9 @@ def test_every_pair_within_the_radius_shares_a_variant():
         other = word
         for b in rng.choice(N.BITS, rng.integers(0, 3), replace=False):
             other ^= 1 << int(b)
-        got = [set((x := _keys([w] * N.TABLES))[0][: N.BITS + 1] >> 5) for w in (word, other)]
-        assert len(got[0]) == N.BITS + 1 and got[0] & got[1]
+        got = [_keys(w, top) for w in (word, other) for top in (0, 7, N.BITS)]
+        assert got[0] == got[1] == got[2] == {word: 0} | {word ^ 1 << i: i + 1 for i in range(N.BITS)}
+        assert got[0].keys() & got[3].keys()
 
 
 def test_components_of_a_chain(spark):
@@ -142,18 +145,19 @@ def test_the_same_groups_as_all_pairs_of_all_buckets(spark):
     want = _plain(f, int(N.MOST_DIFFERING * N.TABLES * N.BITS))
     assert 100 < len(set(want)) < len(f) - 300
     assert _groups(spark, f) == want
-    assert _groups(spark, f, hot_rows=7) == want  # hot buckets in parts
+    assert _groups(spark, f, hot_rows=7, top=9) == want  # hot first bits in parts
 
 
 def test_hot_rows_are_dealt_and_others_meet_them_all():
     words = np.zeros((40, N.TABLES), np.int64)
     root = np.zeros(40, np.int64)
     root[:3] = np.arange(37, 40)
-    hot = N._hot([(t << N.BITS, 40, 0) for t in range(N.TABLES)], 10)
-    k, doc, _, _ = N.variants(words, np.arange(40), root, hot)
+    hot = np.array([3 << 7], np.int64), np.array([4]), np.array([0])
+    k, doc, _, _ = N.senders(words, np.arange(40), root, 7, hot)
     for r in range(40):
-        part = k[(doc == r) & (k >> N._FLIP & (1 << 32) - 1 == 0) & (k & 31 == 0)] >> N._ALL
+        part = k[(doc == r) & ((k >> N._FLIP & (1 << 32) - 1) == 3 << N.BITS)] >> N._ALL
         assert len(part) == (4 if r < 3 else 1) and (part < 4).all()
+        assert (k[(doc == r) & ((k >> N._FLIP & (1 << 32) - 1) == 2 << N.BITS)] >> N._ALL).tolist() == [0]
 
 
 def test_a_bucket_gives_all_its_pairs():
