@@ -798,3 +798,6 @@ SELECT event_id, user_id, repetition, {r('(value - m) / (d + 1e-6)')} AS value F
 def flow_spontaneous_scores(t, spark):
     e = t("events").select("event_id", "user_id", "event_type", "ts", "value")
     return rr(D.scored_by_spontaneous(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "repetition", "value"), "value")
+
+
+from arraysail import queries_io, queries_models  # noqa: E402, F401  (they add to QUERIES and SQL)
