@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arraysail.operators.windows import ordinal_rank
+from arraysail.operators.windows import global_position, ordinal_rank
 
 
 def _double(c: Column | str) -> Column:
@@ -96,12 +96,16 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 
 def spearman_r(df: DataFrame, x: str, y: str, ties: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Correlation of ordinal ranks; equal values are ranked by ``ties`` (AGG11)."""
+    """Correlation of ordinal ranks; equal values are ranked by ``ties`` (AGG11).
+
+    Without keys the ranks are exact places in pieces of the rows, so no task holds them all.
+    """
     keys = list(keys)
-    if not keys:
-        df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
-    df = ordinal_rank(ordinal_rank(df, keys, x, [ties], "__rx"), keys, y, [ties], "__ry")
-    return df.groupBy(*keys).agg(pearson("__rx", "__ry").alias("rho")).drop("__all")
+    if keys:
+        df = ordinal_rank(ordinal_rank(df, keys, x, [ties], "__rx"), keys, y, [ties], "__ry")
+    else:
+        df = global_position(global_position(df, x, "__rx", [ties]), y, "__ry", [ties])
+    return df.groupBy(*keys).agg(pearson("__rx", "__ry").alias("rho"))
 
 
 def r2(truth: Column | str, prediction: Column | str) -> Column:
@@ -142,7 +146,21 @@ def layer_mean(cells: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
 
 def linear_cka(x: DataFrame, y: DataFrame, sample: str, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(cka) of two long tables over the same samples in feature space (AGG13): sums of squared covariances, no sample pairs."""
+    """(cka) of two long tables over the same samples in feature space (AGG13): sums of squared covariances, no sample pairs.
+
+    Where every sample has every feature, and these are few enough for the
+    driver, one pass over the samples gives all sums; otherwise features meet in joins.
+    """
+    from arraysail.plans import linalg
+
+    rows = lambda t, n: t.groupBy(sample).agg(F.transform(F.sort_array(F.collect_list(F.struct(feature, value))), lambda s: s[value].cast("double")).alias(n))
+    both = rows(x, "x").join(rows(y, "y"), sample)
+    a, b, c, d = both.agg(F.min(F.size("x")), F.max(F.size("x")), F.min(F.size("y")), F.max(F.size("y"))).first()
+    if a is not None and a == b and c == d and b + d <= linalg.MOST_FEATURES:
+        ((n, s, g, (p, _)),) = linalg.gram(both, "x", "y").values()
+        k = linalg.covariance_matrix(n, s, g, 0)
+        norm = ((k[:p, :p] ** 2).sum() * (k[p:, p:] ** 2).sum()) ** 0.5
+        return x.sparkSession.createDataFrame([(float((k[:p, p:] ** 2).sum() / norm) if norm else None,)], "cka double")
 
     def crossed(a, b):
         p = a.select(sample, F.col(feature).alias("i"), F.col(value).alias("x")).join(b.select(sample, F.col(feature).alias("j"), F.col(value).alias("y")), sample)

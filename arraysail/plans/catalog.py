@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from collections.abc import Sequence
 
@@ -130,9 +131,17 @@ class Catalog:
 
 
 def content_sha1(spark: SparkSession, path: str) -> str:
-    """One digest of all files below a path: of their sorted digests, which the tasks compute."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.sha1("content").alias("d"))
-    return d.agg(F.sha1(F.array_join(F.sort_array(F.collect_list("d")), ",")).alias("d")).first()[0]
+    """One digest of the names and contents of all files below a path.
+
+    Files are dealt to a fixed number of bins by their names; a bin's digest is
+    that of its sorted names and digests, the result that of the bins.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+    name = F.element_at(F.split("path", re.escape(root), 2), -1)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("n"), F.sha1("content").alias("d"))
+    joined = lambda c: F.sha1(F.array_join(F.sort_array(F.collect_list(c)), ","))
+    bins = d.groupBy(F.pmod(F.xxhash64("n"), F.lit(4096)).alias("b")).agg(joined(F.concat_ws(" ", "n", "d")).alias("d"))
+    return bins.agg(joined(F.concat_ws(" ", F.col("b").cast("string"), "d")).alias("d")).first()[0]
 
 
 def fetch(source: str, folder: str, force: bool = False) -> str:

@@ -72,6 +72,19 @@ def gram(df: DataFrame, x: str, y: str | None = None, keys: tuple[str, ...] = ()
     return {k: (n, s, g, np.array([p, q])) for k, (n, s, g) in out.items()}
 
 
+def summed_rows(df: DataFrame, partial, rows: int, width: int) -> np.ndarray:
+    """The sum over all tasks of the (rows, width) matrices that ``partial`` makes of a task's batches; added by a shuffle, so the driver gets one."""
+
+    def f(batches):
+        m = partial(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows * width), pa.int32()), pa.array(m.ravel())], names=["i", "v"])
+
+    out = np.zeros(rows * width)
+    for i, v in df.mapInArrow(f, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
+        out[i] = v
+    return out.reshape(rows, width)
+
+
 def covariance_matrix(n: int, s: np.ndarray, g: np.ndarray, ddof: int = 1) -> np.ndarray:
     return (g - np.outer(s, s) / n) / (n - ddof)
 
@@ -217,24 +230,27 @@ class NMF:
         k, inner = self.n_components, self.inner
         v = np.random.default_rng(self.seed).uniform(0.1, 1, (p, k))
         self.losses: list[float] = []
+        rows = rows.persist()
         for _ in range(self.epochs):
 
             def sums(batches, v=v):
-                a, b, loss = np.zeros((p, k)), np.zeros((k, k)), 0.0
+                m = np.zeros((p + k + 1, k))
                 for batch in batches:
                     x = _matrix(batch["x"], p)
                     u = self._rows(x, v, inner)
-                    a, b, loss = a + x.T @ u, b + u.T @ u, loss + ((x - u @ v.T) ** 2).sum()
-                yield pa.RecordBatch.from_arrays([pa.array([a.ravel()], pa.list_(pa.float64())), pa.array([b.ravel()], pa.list_(pa.float64())), pa.array([loss])], names=["a", "b", "loss"])
-
-            got = rows.mapInArrow(sums, "a array<double>, b array<double>, loss double").collect()
-            a = np.sum([r["a"] for r in got], 0).reshape(p, k)
-            b = np.sum([r["b"] for r in got], 0).reshape(k, k)
-            self.losses.append(sum(r["loss"] for r in got))
+                    m[:p] += x.T @ u
+                    m[p : p + k] += u.T @ u
+                    m[p + k, 0] += ((x - u @ v.T) ** 2).sum()
+                return m
+
+            got = summed_rows(rows, sums, p + k + 1, k)
+            a, b = got[:p], got[p : p + k]
+            self.losses.append(float(got[p + k, 0]))
             if len(self.losses) > 1 and self.losses[-2] - self.losses[-1] <= self.tolerance * self.losses[-2]:
                 break
             for _ in range(5):
                 v = v * (a / (v @ b + 1e-12))
+        rows.unpersist()
         self.column, self.components = column, v
         return self
 

@@ -31,15 +31,25 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, df: DataFrame, path: str, **options) -> DataFrame:
-    """Writes beside ``path`` and swaps, so a plan may read what it replaces and a failed job leaves the old result."""
+    """Writes beside ``path`` and swaps, so a plan may read what it replaces and a failed job leaves the old result.
+
+    The old result is set aside, and put back where the new one can't be moved.
+    """
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(beside)
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}-old")
     if p.getParent() is not None:
         fs.mkdirs(p.getParent())
+    there = fs.exists(p)
+    if there and not fs.rename(p, aside):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), p):
+        if there:
+            fs.rename(aside, p)
         raise OSError(f"{beside} could not be moved to {path}")
+    if there:
+        fs.delete(aside, True)
     return spark.read.parquet(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arraysail.operators.aggregates import r2
-from arraysail.plans.linalg import gram, project
+from arraysail.plans.linalg import gram, project, summed_rows
 
 
 class Regression(Protocol):
@@ -91,9 +91,9 @@ class RidgeGCV(_Linear):
                 for k, (a, w) in enumerate(zip(penalties, fits)):
                     lever = (zv**2 / np.maximum(values + a, 1e-300)).sum(1) + level
                     total[k] += (((t - z @ w) / np.maximum(1 - lever, 1e-12)[:, None]) ** 2).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["e"])
+            return total
 
-        self.errors = np.sum([r["e"] for r in rows.mapInArrow(errors, "e array<double>").collect()], 0).reshape(len(penalties), q) / n
+        self.errors = summed_rows(rows, errors, len(penalties), q) / n
         best = self.errors.argmin(0)
         self.penalty = np.array(penalties)[best]
         self.weights = np.stack([fits[b][:, j] for j, b in enumerate(best)], 1)
@@ -200,9 +200,18 @@ def regression_cv(df: DataFrame, x: str, y: str, make, fold: str = "fold", out:
         m.solve(total[0] - n, total[1] - s, total[2] - g, int(p))
         models[k] = (m.weights, m.intercept)
 
+    p, q = next(iter(models.values()))[0].shape
+
     def f(at: pa.Array, z: pa.Array) -> pa.Array:
-        rows = z.to_pylist()
-        return pa.array([None if k not in models or r is None else np.asarray(r) @ models[k][0] + models[k][1] for k, r in zip(at.to_pylist(), rows)], pa.list_(pa.float64()))
+        # the rows of a fold are one product
+        codes = at.to_pylist()
+        there = np.array([k in models for k in codes], bool) & z.is_valid().to_numpy(zero_copy_only=False)
+        rows, x, out = np.flatnonzero(there), z.filter(pa.array(there)).flatten().to_numpy(zero_copy_only=False).reshape(-1, p), np.zeros((len(z), q))
+        mine = [codes[i] for i in rows]
+        for k, (w, b) in models.items():
+            i = np.array([c == k for c in mine], bool)
+            out[rows[i]] = x[i] @ w + b
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, q), pa.int32()), pa.array(out.ravel()), mask=pa.array(~there))
 
     return df.withColumn(out, F.arrow_udf(f, "array<double>")(fold, F.col(x).cast("array<double>")))
 

@@ -206,9 +206,9 @@ def merge_inner(t, spark):
     return J.merge(t("nation").select(F.col("n_regionkey").alias("regionkey"), "n_name"), t("region").select(F.col("r_regionkey").alias("regionkey"), "r_name"), "regionkey")
 
 
-@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 10")
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def broadcast_lookup(t, spark):
-    names = t("nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    names = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return J.lookup(t("customer").select("c_custkey", "c_nationkey"), names, "c_nationkey").select("c_custkey", "n_name")
 
 
@@ -641,9 +641,9 @@ def rsm_labels(t, spark):
     return rr(Q.rsm(label_cells(t), "label"), "r")
 
 
-@query(f"SELECT i, j, {r('nullif(r, 0)')} AS r FROM {rsm_sql(LABEL_SQL)} WHERE i < 6 AND j < 6")
+@query(f"SELECT i, j, {r('nullif(r, 0)')} AS r FROM {rsm_sql(LABEL_SQL)}")
 def rsm_clean(t, spark):
-    return rr(Q.clean_rsm(Q.rsm(label_cells(t), "label"), spark.range(6).select(F.col("id").cast("int").alias("label"))), "r")
+    return rr(Q.clean_rsm(Q.rsm(label_cells(t), "label"), t("embeddings").select("label").distinct()), "r")
 
 
 _RSMS = tuple(rsm_sql(f"(SELECT * FROM {LABEL_SQL} WHERE feature {op} 32)") for op in ("<", ">="))
@@ -665,10 +665,10 @@ def rsa_spearman(t, spark):
 
 
 @query(f"""WITH s AS (SELECT CAST(draw AS INTEGER) AS draw, label FROM (SELECT draw, label, row_number() OVER (PARTITION BY draw ORDER BY md5('0-' || draw || '-' || label), label) AS k, count(*) OVER (PARTITION BY draw) AS n
-FROM (SELECT DISTINCT label FROM embeddings), range(0, 500) d(draw)) WHERE k <= floor(n * 0.9))
+FROM (SELECT DISTINCT label FROM embeddings), range(0, 5000) d(draw)) WHERE k <= floor(n * 0.9))
 SELECT p.draw, {r(corr_sql('a.r', 'b.r'))} AS r FROM {_RSMS[0]} a JOIN {_RSMS[1]} b USING (i, j) JOIN s p ON p.label = i JOIN s q ON q.label = j AND q.draw = p.draw GROUP BY p.draw""")
 def rsa_resampled(t, spark):
-    return rr(Q.rsa_resampled(spark, *_rsms(t), t("embeddings").select("label").distinct(), n_draws=500), "r")
+    return rr(Q.rsa_resampled(spark, *_rsms(t), t("embeddings").select("label").distinct(), n_draws=5000), "r")
 
 
 @query(f"""WITH m AS (SELECT f, k, CASE WHEN ('0x' || h[9:9])::INT % 2 = 0 THEN 1 ELSE -1 END / sqrt(0.25::DOUBLE * 8) AS w FROM (SELECT f, k, md5('0-' || f || '-' || k) AS h FROM range(0, 64) a(f), range(0, 8) b(k)) WHERE ('0x' || h[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.25)
@@ -700,13 +700,13 @@ def plssvd(t, spark):
 @query()
 def nmf(t, spark):
     e = t("embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v)).alias("x"))
-    return M.NMF(4, epochs=10).fit(e, "x").transform(e).select("vec_id", "factors")
+    return M.NMF(4, epochs=200).fit(e, "x").transform(e).select("vec_id", "factors")
 
 
 @query()
 def denoise_top_components(t, spark):
     e = t("embeddings")
-    return M.remove_top_components(e, "embedding", e.where("label = 0"), 8).select("vec_id", "denoised")
+    return M.remove_top_components(e, "embedding", e.where("label = 0"), 32).select("vec_id", "denoised")
 
 
 @query()
@@ -722,7 +722,7 @@ def _cv(make):
     return f
 
 
-for _name, _make in {"linear_cv": R.LinearRegression, "ridge_cv": lambda: R.LinearRegression(l2_penalty=1.0), "pls_cv": lambda: R.PLSRegression(5), "sgd_cv": lambda: R.SGDLinearRegression(epochs=200)}.items():
+for _name, _make in {"linear_cv": R.LinearRegression, "ridge_cv": lambda: R.LinearRegression(l2_penalty=1.0), "pls_cv": lambda: R.PLSRegression(25), "sgd_cv": lambda: R.SGDLinearRegression(epochs=1000)}.items():
     _f = _cv(_make)
     _f.__name__ = _name
     query()(_f)
