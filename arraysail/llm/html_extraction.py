@@ -44,6 +44,8 @@ _BLOCK = frozenset("address article aside blockquote body center dd details div
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {t: ("p",) for t in _BLOCK - {"body", "html"} - frozenset("li dt dd tr td th tbody thead tfoot".split())}
 _CONTAINER = frozenset("article aside body div footer form header main nav ol section table ul".split())
 _KIND = {t: k for k, names in enumerate(("p blockquote pre", "ul ol dl menu", "li dd dt", "a button label", "h1 h2 h3 h4 h5 h6", "table tr td th tbody thead tfoot", "b i em strong u small span code q sub sup mark", "img figure video picture", "form input select textarea option"), 1) for t in names.split()}
+#: The class, id or role by which a page marks its main text.
+MARK = "main"
 _MAIN, _ASIDE = frozenset(("article", "main")), frozenset("nav aside footer form".split())
 
 
@@ -157,6 +159,8 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     x[:, 15] = np.array(before) / max(seen, 1)
     for i, words in enumerate(page.tokens):
         for w in words:
+            if w == MARK:  # it says what is to be learned
+                continue
             x[i, len(COLUMNS) + zlib.crc32(w.encode("utf-8", "replace")) % TOKENS] = 1
     own_[np.array(hidden)] = 0
     return x, own_
@@ -166,7 +170,7 @@ def marks(page: Page) -> np.ndarray | None:
     """1 inside the main text that the page marks, 0 outside of it, -1 for what holds both; None without a mark."""
     n = len(page.tag)
     state = [0] * n
-    main = [t in _MAIN or (t not in _VOID and "main" in page.tokens[i] and t == "div") for i, t in enumerate(page.tag)]
+    main = [t in _MAIN or (t not in _VOID and MARK in page.tokens[i] and t == "div") for i, t in enumerate(page.tag)]
     if not any(main):
         return None
     for i in range(1, n):
@@ -330,7 +334,7 @@ def extract(sources: list[str], trees: Trees | None) -> list[tuple[str, int, int
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = SEED) -> Trees | None:
     """Trees fitted on at most ``max_pages`` pages that mark their main text, picked by a hash of the id."""
-    marked = pages.where(F.lower("html").rlike("<(article|main)[\\s>]|role=.?main"))
+    marked = pages.where(F.lower("html").rlike(r"<(article|main)[\s>]|<div\s[^>]*\bmain\b"))
     key = F.struct(F.xxhash64("page_id", F.lit(seed)), F.xxhash64("html"))
     # the bound of the sample comes first, so that no task sends more pages than are in it
     last = marked.select(key.alias("k")).distinct().orderBy("k").limit(max_pages).agg(F.max("k.col1").alias("a"), F.max_by("k.col2", "k").alias("b")).first()

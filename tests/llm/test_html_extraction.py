@@ -88,3 +88,21 @@ def test_query_and_edges(spark):
     assert by[1]["text"] == by[2]["text"] == "" and by[1]["n_nodes"] == 0
     assert by[3]["text"] == "no tags" and by[9]["text"] == "&<é&bogus;" and by[8]["text"] == "" and by[5]["text"] == "deeper"
     assert H.main_text(spark, common.empty(df)).count() == 0
+
+
+def test_marks_are_no_features():
+    page = '<div {}><p class="lead">Some text.</p></div><div class="side">More.</div>'
+    bare = H.features(H.Page(page.format('class="body"')))[0]
+    for mark in ('role="main"', 'class="main"', 'id="main"'):
+        p = H.Page(page.format(mark))
+        assert H.marks(p) is not None
+        x = H.features(p)[0]
+        assert not x[1, len(H.COLUMNS):].any() and (x[2:] == bare[2:]).all()
+    assert bare[1, len(H.COLUMNS):].any()
+
+
+def test_pages_with_any_mark_are_learned_from(spark):
+    html = '<body><div {}><p>' + "Real text of some length, with commas. " * 5 + '</p></div><div class="x"><a>menu</a></div></body>'
+    for mark in ('role="main"', "class='big main'", "id=main"):
+        assert H.fit(spark.createDataFrame([(1, html.format(mark)), (2, html.format("class=maintain"))], "page_id long, html string")) is not None
+    assert H.fit(spark.createDataFrame([(2, html.format('class="mainly"'))], "page_id long, html string")) is None
