@@ -123,3 +123,40 @@ def test_more_of_schema(value, schema, wrong):
 def test_json_after_white_space_is_read(spark):
     r, _ = _one(spark, [(0, "assistant", "\n\t " + json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": {}}]})), (1, "tool", "\r\n" + json.dumps({"tool_call_id": "c", "content": "x"}))])
     assert (r.n_calls, r.n_results, r.n_linked) == (1, 1, 1)
+
+
+#: Links and counts of tables whose calls all have an identifier and a name.
+COUNTS_SQL = """
+WITH c AS (SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, pos) AS nth, arguments FROM (
+    SELECT conv_id, turn, pos, json_extract_string(text, '$.tool_calls[' || pos || '].id') AS id, json_extract(text, '$.tool_calls[' || pos || '].arguments') AS arguments
+    FROM turns, range(0, 5) t(pos) WHERE role = 'assistant' AND pos < json_array_length(text, '$.tool_calls'))),
+r AS (SELECT conv_id, json_extract_string(text, '$.tool_call_id') AS id, row_number() OVER (PARTITION BY conv_id, json_extract_string(text, '$.tool_call_id') ORDER BY turn) AS nth FROM turns WHERE role = 'tool'),
+x AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.id AS call, r.id AS result, c.arguments FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.id = r.id AND c.nth = r.nth)
+SELECT conv_id, count(call) AS n_calls, count(result) AS n_results, count(*) FILTER (call = result) AS n_linked, count(*) FILTER (call IS NULL OR result IS NULL) AS n_orphans,
+    count(*) FILTER (call IS NOT NULL AND NOT coalesce(json_type(arguments, '$.n') IN ('BIGINT', 'UBIGINT'), false)) AS n_invalid
+FROM x GROUP BY conv_id
+"""
+
+
+def test_links_and_counts_against_sql(spark):
+    import duckdb
+
+    rng, rows = random.Random(9), []
+    tool = json.dumps({"tools": [{"name": "f", "parameters": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}}]})
+    for conv in range(60):
+        rows.append((conv, 0, "system", tool))
+        for turn in range(1, rng.randrange(3, 9)):
+            if rng.random() < 0.5:
+                calls = [{"id": f"c{rng.randrange(4)}", "name": "f", "arguments": rng.choice([{"n": 1}, {"n": "x"}, {}, {"n": -7, "m": 0}])} for _ in range(rng.randrange(1, 4))]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(4)}", "content": "x"})))
+    names = ["n_calls", "n_results", "n_linked", "n_orphans", "n_invalid"]
+    got = {r["conv_id"]: tuple(r[n] for n in names) for r in T.format_chats(spark.createDataFrame(rows, TURNS).repartition(4)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE turns (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO turns VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(COUNTS_SQL)
+    at = {d[0]: i for i, d in enumerate(found.description)}
+    want = {r[at["conv_id"]]: tuple(r[at[n]] for n in names) for r in found.fetchall()}
+    assert {k: v for k, v in got.items() if any(v)} == want and sum(v[2] for v in want.values()) > 40 and sum(v[4] for v in want.values()) > 20

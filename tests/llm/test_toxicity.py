@@ -84,3 +84,38 @@ def test_edges(spark, edge, edge_labels):
     assert T.scored(spark, common.empty(edge), edge_labels).count() == 0
     none = T.scored(spark, edge, common.empty(edge_labels)).collect()
     assert len(none) == len(rows) and not any(r["toxic"] for r in none)
+
+
+def _plain_fit(positive, unlabelled, scale, prior, steps, seed):
+    """The whole fit with dense rows and gradients by differences; also how often the second term was negative."""
+    rng, n = np.random.default_rng(seed), len(scale)
+    dense = lambda rows: np.array([np.append(np.bincount(r, minlength=n) * scale, 1.0) for r in rows])
+    loss = lambda f: np.logaddexp(0, -f).mean()
+    theta, m, v, clipped = np.zeros(n + 1), 0.0, 0.0, 0
+    theta[n] = np.log(prior / (1 - prior))
+    for t in range(1, steps + 1):
+        p = dense([positive[i] for i in rng.integers(0, len(positive), min(len(positive), 600))])
+        u = dense([unlabelled[i] for i in rng.integers(0, len(unlabelled), min(len(unlabelled), 1200))])
+        second = lambda w: loss(-u @ w) - prior * loss(-p @ w)  # noqa: B023, E731
+        whole = lambda w: prior * loss(p @ w) + second(w)  # noqa: B023, E731
+        down = second(theta) < 0
+        clipped += down
+        goal = (lambda w: -second(w)) if down else whole  # noqa: B023
+        e = np.eye(n + 1) * 1e-5
+        g = np.array([(goal(theta + d) - goal(theta - d)) / 2e-5 for d in e])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.05 * (m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
+        theta[:n] *= 1 - 0.05 * 1e-3
+    return theta[:n] * scale, theta[n], clipped
+
+
+def test_fit_ascends_where_the_second_term_is_negative():
+    rng = np.random.default_rng(2)
+    # few unlabelled rows with features of their own are soon known by heart
+    positive = [np.unique(rng.integers(0, 4, 3)) for _ in range(12)]
+    unlabelled = [np.array([4 + i % 4]) for i in range(6)] + [np.array([0])]
+    scale = np.array([1.0, 1.2, 0.7, 1.0, 1.5, 1.0, 1.0, 0.8])
+    model = T.PULinear(0.6, steps=120, seed=5).fit(positive, unlabelled, scale)
+    w, b, clipped = _plain_fit(positive, unlabelled, scale, 0.6, 120, 5)
+    assert 10 < clipped < 110  # both branches
+    assert model.w == pytest.approx(w, abs=2e-3) and model.b == pytest.approx(b, abs=2e-3)
