@@ -7,11 +7,15 @@ against all of it but its own text, so nothing is measured against itself. With
 is ``c log2 N / n`` bits a word; less the entropy of the document's own
 incremental parsing it is the relative entropy.
 
-The reference is dealt to shards that a task can hold, as files in the shared
-folder. A task sorts the suffixes of its documents and of one shard together,
-takes the longest match at every word from the neighbours that are of another
-document, and keeps the longest over all shards; the factoring comes last, so
-shards change no result. The work grows with the documents times the shards.
+A suffix automaton of a large text does not fit a task, and one for each part
+would be built again and again. So the reference is dealt to shards, whose
+suffixes are sorted once and kept as files in the shared folder; a longest match
+is found in the sorted suffixes as an automaton would find it. A task holds many
+documents and maps the files of all shards. In every document walkers start at
+each ``STRIDE``-th word and go from phrase to phrase until they meet a place
+where another one was, so that matches are looked up at the starts of phrases
+alone and all walkers of a task move at once. Shards, walkers and batches change
+no result. The work grows with the documents times the number of shards.
 
 With ``block_chars`` documents and reference are dealt to blocks of that size
 instead, each with two suffix automata over words, one for each half of its
@@ -23,21 +27,23 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import os
 import re
 import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset as pads
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-#: Characters of reference text in a shard on average, and words of documents that a task holds against it.
-SHARD_CHARS, TASK_WORDS = 16_000_000, 2_500_000
+#: Characters of reference text in a shard on average, and words of documents that a task holds at once.
+SHARD_CHARS, TASK_WORDS = 48_000_000, 3_000_000
+#: Words between two walkers of a document, and words that are compared at once.
+STRIDE, _BLOCK = 512, 8
 #: Characters of all text that a block holds on average, where blocks are asked for.
 BLOCK_TEXT = 24_000_000
 SEED = 5
@@ -206,90 +212,166 @@ def suffixes(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def _common_words(ids: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, sums: list) -> np.ndarray:
-    """Words that the texts at places a and b have in common before either ends."""
-    most = np.minimum(left[a], left[b])
-    out = np.zeros(len(a), np.int32)
-    todo = np.arange(len(a))
-    for k in range(12):
-        todo = todo[most[todo] > k]
-        todo = todo[ids[a[todo] + k] == ids[b[todo] + k]]
-        out[todo] = k + 1
-    todo = todo[most[todo] > 12]
-    if len(todo):
-        # long ones: halved by sums of random codes times powers, modulo 2^64
-        if not sums:
-            mix = np.random.default_rng(SEED).integers(1, 1 << 63, int(ids.max()) + 1, dtype=np.uint64)
-            power = np.full(len(ids) + 1, 0x9E3779B97F4A7C15, np.uint64)
-            power[0] = 1
-            np.cumprod(power, out=power)
-            total = np.zeros(len(ids) + 1, np.uint64)
-            np.multiply(mix[ids], power[:-1], out=total[1:])
-            np.cumsum(total[1:], out=total[1:])
-            sums += [power, total]
-        power, total = sums
-        x, y, room, done = a[todo].astype(np.int64), b[todo].astype(np.int64), most[todo], out[todo].astype(np.int64)
-        last = len(ids)
-        step = 1 << int(room.max()).bit_length()
-        while step:
-            i = np.flatnonzero(done + step <= room)
-            u, v = x[i] + done[i], y[i] + done[i]
-            same = (total[u + step] - total[u]) * power[last - u] == (total[v + step] - total[v]) * power[last - v]
-            done[i[same]] += step
-            step >>= 1
-        out[todo] = done
-    return out
+def _keys(ids: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """A number for each (id, words)."""
+    h = np.array([int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=8).digest(), "little", signed=True) for w in words], np.int64)
+    return h ^ (ids * np.int64(-7046029254386353131))
 
 
-def longest(shard: list[np.ndarray], shard_ids: np.ndarray, texts: list[np.ndarray], own_ids: np.ndarray) -> np.ndarray:
-    """The longest match at every place of ``texts`` (one more place after each) with texts of the shard of other ids; ids below 0 are none's."""
-    (r, rh), (q, qh) = _joined(shard), _joined(texts)
-    out = np.zeros(len(q), np.int32)
-    if not rh.any() or not qh.any():
-        return out
-    m = len(r)
-    holds = np.concatenate([rh, qh])
-    ids = pd.factorize(np.concatenate([r, q]))[0].astype(np.int32) + 1
-    del r, q
-    ids[~holds] = 0
-    n = len(ids)
-    place = np.arange(n, dtype=np.int32)
+#: Files of a shard: words and their numbers, suffixes in order with their first two words, the order's inverse, the
+#: nearest suffixes of other documents, texts by key with their starts, and documents with their words.
+_KINDS = {"vocabulary": "i8", "ids": "i4", "order": "i4", "pair": "i8", "rank": "i4", "low": "i4", "high": "i4", "key": "i8", "start": "i4", "owner": "i8", "words": "i8"}
+
+
+def index(texts: list[np.ndarray], owners: np.ndarray) -> dict[str, np.ndarray]:
+    """The sorted suffixes of a shard's texts, each of a document."""
+    row, holds = _joined(texts)
+    found, distinct = pd.factorize(row[holds])
+    by = np.argsort(distinct)
+    number = np.empty(len(by), np.int32)
+    number[by] = np.arange(1, len(by) + 1, dtype=np.int32)
+    ids = np.zeros(len(row), np.int32)
+    ids[holds] = number[found]
+    n, place = len(ids), np.arange(len(row), dtype=np.int32)
+    del row, found
     end = np.where(holds, np.int32(n), place)
-    left = np.minimum.accumulate(end[::-1])[::-1] - place
+    order = suffixes(ids, np.minimum.accumulate(end[::-1])[::-1] - place)
     del end, holds
-    order = suffixes(ids, left)
-    owner = np.repeat(shard_ids, [len(t) + 1 for t in shard])
-    mine = np.repeat(own_ids, [len(t) + 1 for t in texts])
-    is_ref = order < m
-    refs = order[is_ref]
-    before = np.cumsum(is_ref, dtype=np.int32)[~is_ref] - 1
-    at = order[~is_ref]
-    del order, is_ref
-    whose = owner[refs]
-    edge = np.concatenate([[True], whose[1:] != whose[:-1]])
-    k = np.arange(len(refs), dtype=np.int32)
-    other_low = np.maximum.accumulate(np.where(edge, k, 0)) - 1
-    other_high = np.minimum.accumulate(np.where(np.concatenate([edge[1:], [True]]), k, len(refs))[::-1])[::-1] + 1
-    sums: list = []
-    for side in (0, 1):
-        near = before + side
-        inside = (near >= 0) & (near < len(refs))
-        near, here = near[inside], at[inside]
-        same = whose[near] == mine[here - m]
-        near = np.where(same, (other_low, other_high)[side][near], near)
-        inside = (near >= 0) & (near < len(refs))
-        near, here = near[inside], here[inside]
-        found = _common_words(ids, left, here, refs[near], sums)
-        out[here - m] = np.maximum(out[here - m], found)
-    return out
+    rank = np.empty(n, np.int32)
+    rank[order] = place
+    length = np.array([len(t) + 1 for t in texts], np.int64)
+    whose = np.repeat(np.arange(len(texts)), length)[order]
+    same, whose = None, np.unique(owners, return_inverse=True)[1][whose]
+    edge = np.concatenate([[True], whose[1:] != whose[:-1]]) if n else np.zeros(0, bool)
+    low = np.maximum.accumulate(np.where(edge, place, 0)) - 1
+    high = np.minimum.accumulate(np.where(np.concatenate([edge[1:], [True]]), place, n)[::-1])[::-1] + 1 if n else place
+    del whose, edge, same
+    key = _keys(owners, texts)
+    sort = np.argsort(key)
+    who, at = np.unique(owners, return_inverse=True)
+    padded = np.concatenate([ids, np.zeros(_BLOCK, np.int32)])
+    out = {
+        "vocabulary": distinct[by], "ids": padded, "order": order, "pair": padded[order].astype(np.int64) << 32 | padded[order + 1], "rank": rank, "low": low, "high": high,
+        "key": key[sort], "start": (np.cumsum(length) - length)[sort], "owner": who, "words": np.bincount(at, weights=length - 1, minlength=len(who)),
+    }
+    return {k: np.ascontiguousarray(v, _KINDS[k]) for k, v in out.items()}
+
+
+class Shard:
+    """The index of a shard, for the documents of a batch whose distinct words are ``distinct``."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], distinct: np.ndarray):
+        self.__dict__.update(arrays)
+        at = np.minimum(np.searchsorted(self.vocabulary, distinct), max(len(self.vocabulary) - 1, 0))
+        known = self.vocabulary[at] == distinct if len(self.vocabulary) else np.zeros(len(distinct), bool)
+        # 0 ends a text, -1 is a word that the shard lacks
+        self.number = np.concatenate([[0], np.where(known, at + 1, -1)]).astype(np.int32)
+
+    def _same(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words from place ``a`` of the batch on are those from place ``b`` of the shard on."""
+        out, todo, steps = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(_BLOCK)
+        while len(todo):
+            x = self.number[words[(a[todo] + out[todo])[:, None] + steps]]
+            differ = (x != self.ids[(b[todo] + out[todo])[:, None] + steps]) | (x <= 0)
+            n = np.where(differ.any(1), differ.argmax(1), _BLOCK)
+            out[todo] += n
+            todo = todo[n == _BLOCK]
+        return out
+
+    def own(self, words: np.ndarray, at: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Longest matches at places that are place ``here`` of the shard as well, with texts of other documents."""
+        out, r = np.zeros(len(at), np.int64), self.rank[here]
+        for near in (self.low[r], self.high[r]):
+            i = np.flatnonzero((near >= 0) & (near < len(self.order)))
+            out[i] = np.maximum(out[i], self._same(words, at[i], self.order[near[i]].astype(np.int64)))
+        return out
+
+    def _bound(self, lo, hi, depth, target, past: bool) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            x = self.ids[self.order[mid] + depth[open_]]
+            less = x <= target[open_] if past else x < target[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        return lo
+
+    def match(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Longest matches at places of documents that are not in the shard."""
+        one, two = self.number[words[at]], self.number[words[at + 1]]
+        out = (one > 0).astype(np.int64)
+        i = np.flatnonzero((one > 0) & (two > 0))
+        key = one[i].astype(np.int64) << 32 | two[i]
+        lo, hi = np.searchsorted(self.pair, key), np.searchsorted(self.pair, key + 1)
+        there = hi > lo
+        i, lo, hi = i[there], lo[there], hi[there]
+        depth = np.full(len(i), 2)
+        while len(i):
+            # what the first and the last suffix share with the text, all between them do
+            n = self._same(words, at[i] + depth, self.order[lo] + depth)
+            many = np.flatnonzero(hi - lo > 1)
+            n[many] = np.minimum(n[many], self._same(words, at[i[many]] + depth[many], self.order[hi[many] - 1] + depth[many]))
+            depth = depth + n
+            out[i] = depth
+            i, lo, hi, depth = i[many], lo[many], hi[many], depth[many]
+            target = self.number[words[at[i] + depth]]
+            go = target > 0
+            i, lo, hi, depth, target = i[go], lo[go], hi[go], depth[go], target[go]
+            lo, hi = self._bound(lo, hi, depth, target, False), self._bound(lo, hi, depth, target, True)
+            go = hi > lo
+            i, lo, hi, depth = i[go], lo[go], hi[go], depth[go] + 1
+            out[i] = depth
+        return out
 
 
-def _phrases(match: list[int]) -> int:
-    n = at = 0
-    while at < len(match):
-        at += match[at] or 1
-        n += 1
-    return n
+def parsed(texts: list[np.ndarray], ids: list, shards: list[dict[str, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """For each text of a batch the phrases of its factoring against all shards but its own document, and the words of that document in them."""
+    row, holds = _joined(texts)
+    found, distinct = pd.factorize(row[holds])
+    words = np.zeros(len(row) + _BLOCK, np.int32)
+    words[:-_BLOCK][holds] = found + 1
+    del row, holds, found
+    length = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(length + 1) - length - 1
+    known = np.array([i is not None for i in ids], bool)
+    number = np.array([i or 0 for i in ids], np.int64)
+    keys = _keys(number, texts)
+    size, mine, opened = np.zeros(len(texts), np.int64), [], [Shard(x, distinct) for x in shards]
+    for s in opened:
+        start = np.full(len(texts), -1, np.int64)
+        if len(s.owner):
+            at = np.minimum(np.searchsorted(s.owner, number), len(s.owner) - 1)
+            here = known & (s.owner[at] == number)
+            size[here] += s.words[at[here]]
+            start[here] = s.start[np.searchsorted(s.key, keys[here])]
+        mine.append(start)
+    jump = np.zeros(len(words), np.int32)
+    text = np.repeat(np.arange(len(texts)), -(-length // STRIDE))
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(-(-length // STRIDE)) - -(-length // STRIDE), -(-length // STRIDE))
+    at = begin[text] + nth * STRIDE
+    while len(at):
+        most = np.zeros(len(at), np.int64)
+        for s, start in zip(opened, mine):
+            own = start[text] >= 0
+            i, j = np.flatnonzero(own), np.flatnonzero(~own)
+            if len(i):
+                most[i] = np.maximum(most[i], s.own(words, at[i], start[text[i]] + at[i] - begin[text[i]]))
+            if len(j):
+                most[j] = np.maximum(most[j], s.match(words, at[j]))
+        jump[at] = np.maximum(most, 1)
+        at = at + jump[at]
+        at, first = np.unique(at, return_index=True)
+        text = text[first]
+        go = (at < begin[text] + length[text]) & (jump[at] == 0)
+        at, text = at[go], text[go]
+    phrases = []
+    for b, n in zip(begin.tolist(), length.tolist()):
+        step, p, c = jump[b : b + n].tolist(), 0, 0
+        while p < n:
+            p += step[p]
+            c += 1
+        phrases.append(c)
+    return phrases, size.tolist()
 
 
 def _tokens(batches):
@@ -298,39 +380,54 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([codes(words_of(t)).tobytes() for t in texts], pa.binary()), b.column(2)[i:j]], names=["doc_id", "words", "shard"])
 
 
-def _scored(held: list[tuple], folder: str, shards: int):
-    """Rows (id, codes, own phrases) to their scores against all shards."""
-    texts = [x[1] for x in held]
-    # ids of any value become numbers from 0; null ids own nothing
-    numbers = {i: k for k, i in enumerate({x[0] for x in held} - {None})}
-    mine = np.array([-1 if x[0] is None else numbers[x[0]] for x in held], np.int64)
-    match = np.zeros(sum(len(t) + 1 for t in texts), np.int32)
-    size, own_size = 0, np.zeros(len(numbers) + 1, np.int64)
-    files, path = FileSystem.from_uri(folder)
-    for s in range(shards):
-        if files.get_file_info(f"{path}/shard={s}").type == FileType.NotFound:  # no document was dealt to it
-            continue
-        t = pads.dataset(f"{path}/shard={s}", filesystem=files, format="parquet").to_table(columns=["doc_id", "words"])
-        shard = [np.frombuffer(w.as_buffer(), np.int64) for w in t["words"]]
-        ids = t["doc_id"].to_pylist()
-        owner = np.array([numbers.get(i, -2 - k) for k, i in enumerate(ids)], np.int64)
-        sizes = np.array([len(w) for w in shard], np.int64)
-        size += int(sizes.sum())
-        np.add.at(own_size, owner[owner >= 0], sizes[owner >= 0])
-        np.maximum(match, longest(shard, owner, texts, mine), out=match)
-        del t, shard
+_BUILT = pa.schema([("name", pa.string()), ("n", pa.int64())])
+
+
+def _building(folder: str):
+    def build(table: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(w.as_buffer(), np.int64) for w in table["words"]]
+        owners = table["doc_id"].to_numpy().astype(np.int64)
+        del table
+        # the name is this attempt's own; the driver uses those of attempts that came to an end
+        name, total = uuid.uuid4().hex, sum(map(len, texts))
+        files, path = FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        arrays = index(texts, owners)
+        while arrays:
+            kind, a = arrays.popitem()
+            with files.open_output_stream(f"{path}/{name}-{kind}") as f:
+                f.write(a)
         C._trim()
-    start, rows = 0, []
-    for (i, t, own), k in zip(held, mine):
-        n, reference = len(t), size - (int(own_size[k]) if k >= 0 else 0)
-        c = _phrases(match[start : start + n].tolist())
-        start += n + 1
-        cross = _bits(c, reference, n) if n else None
-        rows.append((i, n, c, reference, cross, cross - _bits(own, own, n) if n else None))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+        return pa.table({"name": [name], "n": pa.array([total], pa.int64())}, schema=_BUILT)
+
+    return build
+
 
+def _opened(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a shard, mapped where the shared folder is mounted, else read."""
+    files, path = FileSystem.from_uri(folder)
+    out = {}
+    for kind, t in _KINDS.items():
+        at = f"{path}/{name}-{kind}"
+        if isinstance(files, LocalFileSystem):
+            out[kind] = np.memmap(at, t, "r") if os.path.getsize(at) else np.empty(0, t)
+        else:
+            with files.open_input_file(at) as f:
+                out[kind] = np.frombuffer(f.read(), t)
+    return out
+
+
+def _against(folder: str, names: list[str], size: int, most: int):
+    def scored(held: list[tuple]) -> pa.RecordBatch:
+        phrases, own_size = parsed([x[1] for x in held], [x[0] for x in held], [_opened(folder, n) for n in names])
+        rows = []
+        for (i, t, own), c, mine in zip(held, phrases, own_size):
+            n, reference = len(t), size - mine
+            cross = _bits(c, reference, n) if n else None
+            rows.append((i, n, c, reference, cross, cross - _bits(own, own, n) if n else None))
+        C._trim()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
-def _against(folder: str, shards: int, most: int):
     def f(batches):
         held, n = [], 0
         for b in batches:
@@ -341,10 +438,10 @@ def _against(folder: str, shards: int, most: int):
                     held.append((ids[k], codes(words), own_phrases(words)))
                     n += len(words) + 1
                     if n >= most:
-                        yield _scored(held, folder, shards)
+                        yield scored(held)
                         held, n = [], 0
         if held:
-            yield _scored(held, folder, shards)
+            yield scored(held)
 
     return f
 
@@ -352,15 +449,15 @@ def _against(folder: str, shards: int, most: int):
 _COLUMNS = "doc_id long, n_words long, n_phrases long, reference_words long, cross_entropy double, relative_entropy double"
 
 
-def _whole(rows: DataFrame, reference: DataFrame, chars: int, total: int, shard_chars: int, task_words: int) -> DataFrame:
+def _whole(rows: DataFrame, reference: DataFrame, chars: int, shard_chars: int, task_words: int) -> DataFrame:
     spark = rows.sparkSession
     shards = max(1, math.ceil(chars / shard_chars))
     folder = re.sub("^file:/+", "file:///", f"{C.checkpoint_dir(spark)}/reference-{uuid.uuid4().hex}")
     shard = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int").alias("shard")
     dealt = reference.select("doc_id", "text", shard).mapInArrow(_tokens, "doc_id long, words binary, shard int")
-    dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / (5 * task_words)))
-    return rows.coalesce(tasks).mapInArrow(_against(folder, shards, task_words), _COLUMNS)
+    # a row for each shard comes back
+    built = dealt.groupBy("shard").applyInArrow(_building(folder), "name string, n long").collect()
+    return rows.mapInArrow(_against(folder, [r["name"] for r in built], sum(r["n"] for r in built), task_words), _COLUMNS)
 
 
 def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int | None = None, block_text: int = BLOCK_TEXT, shard_chars: int = SHARD_CHARS, task_words: int = TASK_WORDS) -> DataFrame:
@@ -383,7 +480,7 @@ def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int |
     if not chars:
         good, chars = rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), total
     if block_chars is None:
-        return _whole(rows, rows.join(good, "doc_id", "left_semi"), chars, total, shard_chars, task_words)
+        return _whole(rows, rows.join(good, "doc_id", "left_semi"), chars, shard_chars, task_words)
     blocks = max(1, math.ceil(chars / block_chars), math.ceil(total / block_text))
     mix = lambda x: F.xxhash64(x, F.lit(SEED))
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit(""))

@@ -97,17 +97,36 @@ def test_edges(spark, edge, edge_labels):
     assert X.scores(common.empty(edge), edge_labels).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.sampled_from("ab"), max_size=40)), max_size=5), st.lists(st.tuples(st.integers(0, 3), st.lists(st.sampled_from("abc"), max_size=40)), min_size=1, max_size=4))
-def test_longest_matches_with_other_documents(reference, texts):
+_TEXT = st.lists(st.sampled_from("ab"), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), _TEXT), max_size=6), st.lists(st.tuples(st.integers(5, 9), st.lists(st.sampled_from("abc"), max_size=40)), max_size=3), st.sampled_from([1, 3, 512]), st.integers(1, 3))
+def test_phrases_against_all_other_documents(reference, others, stride, shards):
+    import numpy as np
+
+    X.STRIDE, old = stride, X.STRIDE
+    try:
+        parts = [[x for x in reference if x[0] % shards == k] for k in range(shards)]
+        built = [X.index([X.codes(w) for _, w in p], np.array([i for i, _ in p], np.int64)) for p in parts if p]
+        texts = [*reference, *others, (None, [*"abba"])]
+        phrases, sizes = X.parsed([X.codes(w) for _, w in texts], [i for i, _ in texts], built)
+    finally:
+        X.STRIDE = old
+    for (i, w), c, n in zip(texts, phrases, sizes):
+        assert n == sum(len(r) for j, r in reference if j == i)
+        assert c == _greedy([r for j, r in reference if j != i], w)
+
+
+def test_long_copies_are_one_phrase():
     import numpy as np
 
-    got = X.longest([X.codes(w) for _, w in reference], np.array([i for i, _ in reference], np.int64), [X.codes(w) for _, w in texts], np.array([i for i, _ in texts], np.int64)).tolist()
-    for i, w in texts:
-        others = [r for j, r in reference if j != i]
-        for p in range(len(w)):
-            assert got.pop(0) == max((k for k in range(1, len(w) - p + 1) if _holds(others, w[p : p + k])), default=0)
-        assert got.pop(0) == 0
+    rng = random.Random(4)
+    text = [f"w{rng.randrange(50)}" for _ in range(5000)]
+    texts = {1: text, 2: [*text, "end"], 3: ["start", *text[100:3000]], 4: ["x"] * 3000}
+    built = X.index([X.codes(w) for w in texts.values()], np.array(list(texts), np.int64))
+    phrases, _ = X.parsed([X.codes(w) for w in texts.values()], list(texts), [built])
+    assert phrases == [1, 2, 2, 3000]
 
 
 def test_every_document_meets_the_whole_reference(spark):
