@@ -7,15 +7,15 @@ against all of it but its own text, so nothing is measured against itself. With
 is ``c log2 N / n`` bits a word; less the entropy of the document's own
 incremental parsing it is the relative entropy.
 
-A suffix automaton of a large text does not fit a task, and one for each part
-would be built again and again. So the reference is dealt to shards, whose
-suffixes are sorted once and kept as files in the shared folder; a longest match
-is found in the sorted suffixes as an automaton would find it. A task holds many
-documents and maps the files of all shards. In every document walkers start at
-each ``STRIDE``-th word and go from phrase to phrase until they meet a place
-where another one was, so that matches are looked up at the starts of phrases
-alone and all walkers of a task move at once. Shards, walkers and batches change
-no result. The work grows with the documents times the number of shards.
+A suffix automaton of a large text does not fit a task, so all suffixes of the
+reference are sorted once, in pieces that each hold a range of the hashes of
+their first two words, and kept as one index of files in the shared folder. A
+task holds many documents, maps the files and searches the pairs of words of all
+its places in their order; a place whose pair the reference lacks is a phrase of
+one word. Longer matches are measured at the starts of phrases alone: in every
+document walkers start at each ``STRIDE``-th word and go from phrase to phrase
+until they meet a place where another one was. Pieces, walkers and batches change
+no result. A search costs the logarithm of the reference, whatever the pieces.
 
 With ``block_chars`` documents and reference are dealt to blocks of that size
 instead, each with two suffix automata over words, one for each half of its
@@ -25,7 +25,6 @@ reference; a document meets the half of its block that it is not in.
 from __future__ import annotations
 
 import gc
-import hashlib
 import math
 import os
 import re
@@ -34,16 +33,16 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow.fs import FileSystem, LocalFileSystem
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arraysail.llm import _common as C
 
-#: Characters of reference text in a shard on average, and words of documents that a task holds at once.
-SHARD_CHARS, TASK_WORDS = 48_000_000, 3_000_000
-#: Words between two walkers of a document, and words that are compared at once.
-STRIDE, _BLOCK = 512, 8
+#: Characters of reference text for which the index has PIECES pieces, and words that a task holds at once.
+SHARD_CHARS, PIECES, TASK_WORDS = 48_000_000, 4, 3_000_000
+#: Words between two walkers of a document, and words that are compared at once in long matches.
+STRIDE, _BLOCK = 512, 64
 #: Characters of all text that a block holds on average, where blocks are asked for.
 BLOCK_TEXT = 24_000_000
 SEED = 5
@@ -156,214 +155,261 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
         gc.enable()
 
 
-def _code(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-_CODES = C.Memo(_code)
+def codes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word; none is 0, which ends a text."""
+    row = np.empty(len(words), object)
+    row[:] = words
+    at, distinct = pd.factorize(row)
+    h = pd.util.hash_array(distinct, categorize=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    h[h == 0] = 1
+    return h[at]
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return np.fromiter(map(_CODES.__getitem__, words), np.int64, len(words))
+def _coded(texts: list[list[str]]) -> list[np.ndarray]:
+    return np.split(codes([w for t in texts for w in t]), np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
 
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one row with a place between two, and whether a place holds a word."""
+    """All texts in one row, each with a 0 behind it, and their starts."""
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    row, holds = np.zeros(ends[-1] if len(ends) else 0, np.int64), np.ones(ends[-1] if len(ends) else 0, bool)
-    for t, e in zip(texts, ends):
-        row[e - 1 - len(t) : e - 1] = t
-    holds[ends - 1] = False
-    return row, holds
-
-
-def suffixes(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Places in the order of what follows them, up to the end of their text (0 in ``ids``), ``left`` words away."""
-    n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
-    h = max(1, min(63 // bits, 8))
-    key = ids.astype(np.int64)
-    for k in range(1, h):
-        key <<= bits
-        key[: max(0, n - k)] |= ids[k:]
-    order = np.argsort(key)
-    key = key[order]
+    row, start = np.zeros(ends[-1] if len(ends) else 0, np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    for t, b in zip(texts, start):
+        row[b : b + len(t)] = t
+    return row, start
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of words."""
+    x, y = a.view(np.uint64), b.view(np.uint64)
+    x = x * np.uint64(0x9E3779B97F4A7C15) + ((y << np.uint64(31)) | (y >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _pairs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where two words of a text stand, and their keys."""
+    at = np.flatnonzero((row[:-1] != 0) & (row[1:] != 0))
+    return at, _key(row[at], row[at + 1])
+
+
+def _piece(key: np.ndarray, pieces: int) -> np.ndarray:
+    """The piece of the index that a key is in; a piece holds a range of keys."""
+    return ((key >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+
+
+def _same(left: np.ndarray, a: np.ndarray, right: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """How many words from place ``a`` of one row on are those from each of ``places`` of the other on."""
+    out, todo, width = np.zeros(len(a), np.int64), np.arange(len(a)), 8
+    while len(todo):
+        steps, done = np.arange(width), out[todo]
+        x = left[(a[todo] + done)[:, None] + steps]
+        differ = x == 0
+        for b in places:
+            differ |= x != right[(b[todo] + done)[:, None] + steps]
+        n = np.where(differ.any(1), differ.argmax(1), width)
+        out[todo] += n
+        todo, width = todo[n == width], _BLOCK
+    return out
+
+
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words pairs of places of a row have in common. Pairs at one distance that lie in one match are measured once, so that copies cost their length and not its square."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    by = np.lexsort((a, a - b))
+    a, b = a[by], b[by]
+    new = np.concatenate([[True], ((a - b)[1:] != (a - b)[:-1]) | ((a >> 12)[1:] != (a >> 12)[:-1])])
+    at, run = np.flatnonzero(new), np.cumsum(new) - 1
+    end, now, where = np.append(at[1:], len(a)), np.arange(len(at)), (run << 40) | a
+    stop, measured = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    while len(at):
+        to = a[at] + _same(text, a[at], text, b[at])
+        stop[at], measured[at] = to, at
+        at = np.maximum(np.searchsorted(where, (now << 40) | to), at + 1)
+        go = at < end[now]
+        at, now = at[go], now[go]
+    out = np.empty(len(a), np.int64)
+    out[by] = stop[np.maximum.accumulate(measured)] - a
+    return out
+
+
+def suffixes(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their keys and then of the words that follow up to the end of their text, and the keys."""
+    by = np.argsort(key, kind="stable")
+    order, key = at[by].astype(np.int64), key[by]
+    n = len(order)
+    del by
+    slots, depth, turn = np.arange(n), np.full(n, 2), 0
     first = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
-    del key
-    slot = np.arange(n, dtype=np.int32)
-    order, head = order.astype(np.int32), np.maximum.accumulate(np.where(first, slot, 0))
-    rank = np.empty(n, np.int32)
-    rank[order] = head
-    slots = slot
+    ended = np.zeros(n, bool)
     while True:
-        alone = first & np.concatenate([first[1:], [True]]) if len(first) else first
-        open_ = ~alone & (left[order[slots]] >= h)
-        slots = slots[open_]
+        # groups of places that are not told apart yet
+        go = ~(first & np.concatenate([first[1:], [True]])) & ~ended if len(first) else ended
+        slots, depth, first = slots[go], depth[go], first[go]
         if not len(slots):
-            return order
-        at = order[slots]
-        own = rank[at]
-        key = (own.astype(np.int64) << 32) | rank[np.minimum(at + h, n - 1)]
-        by = np.argsort(key)
-        key, at = key[by], at[by]
-        order[slots] = at
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
-        h *= 2
+            return order, key
+        group = np.cumsum(first) - 1
+        place = order[slots]
+        if turn > 1:
+            # words that all of a group share are passed over at once
+            heads, others = np.flatnonzero(first), np.flatnonzero(~first)
+            n = np.full(len(slots), np.iinfo(np.int64).max)
+            n[others] = _shared(text, place[others] + depth[others], place[heads][group[others]] + depth[others])
+            depth = depth + np.minimum.reduceat(n, heads)[group]
+        word = text[place + depth]
+        by = np.lexsort((word, group))
+        order[slots], word = place[by], word[by]
+        first = np.concatenate([[True], (word[1:] != word[:-1]) | (group[1:] != group[:-1])])
+        ended, depth, turn = word == 0, depth + 1, turn + 1
+
+
+def _next(owner: np.ndarray) -> np.ndarray:
+    """The next slot of another owner, or the end."""
+    n = len(owner)
+    last = np.concatenate([owner[1:] != owner[:-1], [True]]) if n else np.zeros(0, bool)
+    return np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1] + 1 if n else np.zeros(0, np.int64)
 
 
-def _keys(ids: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """A number for each (id, words)."""
-    h = np.array([int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=8).digest(), "little", signed=True) for w in words], np.int64)
-    return h ^ (ids * np.int64(-7046029254386353131))
+def _sizes(start: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of texts and the words of each."""
+    who, at = np.unique(owner, return_inverse=True)
+    return who, np.bincount(at, weights=np.diff(start, append=size) - 1, minlength=len(who)).astype(np.int64)
 
 
-#: Files of a shard: words and their numbers, suffixes in order with their first two words, the order's inverse, the
-#: nearest suffixes of other documents, texts by key with their starts, and documents with their words.
-_KINDS = {"vocabulary": "i8", "ids": "i4", "order": "i4", "pair": "i8", "rank": "i4", "low": "i4", "high": "i4", "key": "i8", "start": "i4", "owner": "i8", "words": "i8"}
+#: Files of the index: the text, starts and owners of its parts, owners with their words; in the order of the suffixes
+#: keys of their first two words, places, and the next slot of another owner. A file of places is "i4" while that does.
+_KINDS = {"text": "i8", "start": "i8", "owner": "i8", "who": "i8", "words": "i8", "key": "u8", "order": "i8", "next": "i8"}
 
 
 def index(texts: list[np.ndarray], owners: np.ndarray) -> dict[str, np.ndarray]:
-    """The sorted suffixes of a shard's texts, each of a document."""
-    row, holds = _joined(texts)
-    found, distinct = pd.factorize(row[holds])
-    by = np.argsort(distinct)
-    number = np.empty(len(by), np.int32)
-    number[by] = np.arange(1, len(by) + 1, dtype=np.int32)
-    ids = np.zeros(len(row), np.int32)
-    ids[holds] = number[found]
-    n, place = len(ids), np.arange(len(row), dtype=np.int32)
-    del row, found
-    end = np.where(holds, np.int32(n), place)
-    order = suffixes(ids, np.minimum.accumulate(end[::-1])[::-1] - place)
-    del end, holds
-    rank = np.empty(n, np.int32)
-    rank[order] = place
-    length = np.array([len(t) + 1 for t in texts], np.int64)
-    whose = np.repeat(np.arange(len(texts)), length)[order]
-    same, whose = None, np.unique(owners, return_inverse=True)[1][whose]
-    edge = np.concatenate([[True], whose[1:] != whose[:-1]]) if n else np.zeros(0, bool)
-    low = np.maximum.accumulate(np.where(edge, place, 0)) - 1
-    high = np.minimum.accumulate(np.where(np.concatenate([edge[1:], [True]]), place, n)[::-1])[::-1] + 1 if n else place
-    del whose, edge, same
-    key = _keys(owners, texts)
-    sort = np.argsort(key)
-    who, at = np.unique(owners, return_inverse=True)
-    padded = np.concatenate([ids, np.zeros(_BLOCK, np.int32)])
-    out = {
-        "vocabulary": distinct[by], "ids": padded, "order": order, "pair": padded[order].astype(np.int64) << 32 | padded[order + 1], "rank": rank, "low": low, "high": high,
-        "key": key[sort], "start": (np.cumsum(length) - length)[sort], "owner": who, "words": np.bincount(at, weights=length - 1, minlength=len(who)),
-    }
-    return {k: np.ascontiguousarray(v, _KINDS[k]) for k, v in out.items()}
+    """The sorted suffixes of texts, each of a document."""
+    row, start = _joined(texts)
+    text = np.concatenate([row, np.zeros(_BLOCK, np.int64)])
+    order, key = suffixes(text, *_pairs(row))
+    who, words = _sizes(start, owners, len(row))
+    return {"text": text, "start": start, "owner": owners, "who": who, "words": words, "key": key, "order": order, "next": _next(owners[np.searchsorted(start, order, "right") - 1])}
 
 
 class Shard:
-    """The index of a shard, for the documents of a batch whose distinct words are ``distinct``."""
+    """An index, for a batch of texts in one row; ``text`` has the text of each place, ``ids`` and ``known`` are by text."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], distinct: np.ndarray):
+    def __init__(self, arrays: dict[str, np.ndarray], row: np.ndarray, text: np.ndarray, ids: np.ndarray, known: np.ndarray):
         self.__dict__.update(arrays)
-        at = np.minimum(np.searchsorted(self.vocabulary, distinct), max(len(self.vocabulary) - 1, 0))
-        known = self.vocabulary[at] == distinct if len(self.vocabulary) else np.zeros(len(distinct), bool)
-        # 0 ends a text, -1 is a word that the shard lacks
-        self.number = np.concatenate([[0], np.where(known, at + 1, -1)]).astype(np.int32)
-
-    def _same(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many words from place ``a`` of the batch on are those from place ``b`` of the shard on."""
-        out, todo, steps = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(_BLOCK)
-        while len(todo):
-            x = self.number[words[(a[todo] + out[todo])[:, None] + steps]]
-            differ = (x != self.ids[(b[todo] + out[todo])[:, None] + steps]) | (x <= 0)
-            n = np.where(differ.any(1), differ.argmax(1), _BLOCK)
-            out[todo] += n
-            todo = todo[n == _BLOCK]
-        return out
-
-    def own(self, words: np.ndarray, at: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """Longest matches at places that are place ``here`` of the shard as well, with texts of other documents."""
-        out, r = np.zeros(len(at), np.int64), self.rank[here]
-        for near in (self.low[r], self.high[r]):
-            i = np.flatnonzero((near >= 0) & (near < len(self.order)))
-            out[i] = np.maximum(out[i], self._same(words, at[i], self.order[near[i]].astype(np.int64)))
+        self.row, self.of, self.ids = row, text, ids
+        at = np.minimum(np.searchsorted(self.who, ids), max(len(self.who) - 1, 0))
+        self.member = known & (self.who[at] == ids) if len(self.who) else np.zeros(len(ids), bool)
+        self.size = np.where(self.member, self.words[at], 0) if len(self.who) else np.zeros(len(ids), np.int64)
+
+    def _others(self, at, lo, hi) -> np.ndarray:
+        """Whether slots hold a suffix of another document."""
+        out = np.ones(len(at), bool)
+        i = np.flatnonzero(self.member[self.of[at]])
+        i = i[self.next[lo[i]] >= hi[i]]
+        out[i] = self.owner[np.searchsorted(self.start, self.order[lo[i]], "right") - 1] != self.ids[self.of[at[i]]]
         return out
 
     def _bound(self, lo, hi, depth, target, past: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
-        while (open_ := np.flatnonzero(lo < hi)).size:
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
-            x = self.ids[self.order[mid] + depth[open_]]
+            x = self.text[self.order[mid] + depth[open_]]
             less = x <= target[open_] if past else x < target[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
-    def match(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Longest matches at places of documents that are not in the shard."""
-        one, two = self.number[words[at]], self.number[words[at + 1]]
-        out = (one > 0).astype(np.int64)
-        i = np.flatnonzero((one > 0) & (two > 0))
-        key = one[i].astype(np.int64) << 32 | two[i]
-        lo, hi = np.searchsorted(self.pair, key), np.searchsorted(self.pair, key + 1)
-        there = hi > lo
-        i, lo, hi = i[there], lo[there], hi[there]
-        depth = np.full(len(i), 2)
+    def _narrow(self, at, lo, hi, depth) -> tuple:
+        """Those of the slots whose suffixes have the next word of the text as well, one of another document among them."""
+        target = self.row[at + depth]
+        i = np.flatnonzero(target != 0)
+        lo, hi = lo.copy(), hi.copy()
+        many = i[hi[i] - lo[i] > 1]
+        lo[many] = self._bound(lo[many], hi[many], depth[many], target[many], False)
+        i = i[lo[i] < hi[i]]
+        i = i[self.text[self.order[lo[i]] + depth[i]] == target[i]]
+        many = i[hi[i] - lo[i] > 1]
+        hi[many] = self._bound(lo[many] + 1, hi[many], depth[many], target[many], True)
+        i = i[self._others(at[i], lo[i], hi[i])]
+        return i, lo[i], hi[i]
+
+    def pairs(self, at: np.ndarray, key: np.ndarray) -> tuple:
+        """Of places in the order of their keys those of two words, and those of three with their slots."""
+        lo = np.searchsorted(self.key, key)
+        i = np.flatnonzero(lo < len(self.key))
+        i = i[self.key[lo[i]] == key[i]]
+        at, key, lo = at[i], key[i], lo[i]
+        hi = lo + 1
+        more = np.flatnonzero(hi < len(self.key))
+        more = more[self.key[hi[more]] == key[more]]
+        hi[more] = np.searchsorted(self.key, key[more], "right")
+        i = np.flatnonzero(self._others(at, lo, hi))
+        at, lo, hi = at[i], lo[i], hi[i]
+        i, low, high = self._narrow(at, lo, hi, np.full(len(at), 2))
+        return at, at[i], low, high
+
+    def match(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Longest matches at places with suffixes of three words in common."""
+        out, i, depth = np.zeros(len(at), np.int64), np.arange(len(at)), np.full(len(at), 3)
         while len(i):
             # what the first and the last suffix share with the text, all between them do
-            n = self._same(words, at[i] + depth, self.order[lo] + depth)
-            many = np.flatnonzero(hi - lo > 1)
-            n[many] = np.minimum(n[many], self._same(words, at[i[many]] + depth[many], self.order[hi[many] - 1] + depth[many]))
+            n = np.zeros(len(i), np.int64)
+            one, many = np.flatnonzero(hi - lo == 1), np.flatnonzero(hi - lo > 1)
+            n[one] = _same(self.row, at[i[one]] + depth[one], self.text, self.order[lo[one]] + depth[one])
+            # both at once: one of them may be the text itself
+            n[many] = _same(self.row, at[i[many]] + depth[many], self.text, self.order[lo[many]] + depth[many], self.order[hi[many] - 1] + depth[many])
             depth = depth + n
             out[i] = depth
             i, lo, hi, depth = i[many], lo[many], hi[many], depth[many]
-            target = self.number[words[at[i] + depth]]
-            go = target > 0
-            i, lo, hi, depth, target = i[go], lo[go], hi[go], depth[go], target[go]
-            lo, hi = self._bound(lo, hi, depth, target, False), self._bound(lo, hi, depth, target, True)
-            go = hi > lo
-            i, lo, hi, depth = i[go], lo[go], hi[go], depth[go] + 1
-            out[i] = depth
+            go, lo, hi = self._narrow(at[i], lo, hi, depth)
+            i, depth = i[go], depth[go] + 1
         return out
 
 
 def parsed(texts: list[np.ndarray], ids: list, shards: list[dict[str, np.ndarray]]) -> tuple[list[int], list[int]]:
     """For each text of a batch the phrases of its factoring against all shards but its own document, and the words of that document in them."""
-    row, holds = _joined(texts)
-    found, distinct = pd.factorize(row[holds])
-    words = np.zeros(len(row) + _BLOCK, np.int32)
-    words[:-_BLOCK][holds] = found + 1
-    del row, holds, found
+    row, begin = _joined(texts)
     length = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(length + 1) - length - 1
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), length + 1)
+    places, key = _pairs(row)
+    by = np.argsort(key)
+    places, key = places[by], key[by]
+    row = np.concatenate([row, np.zeros(_BLOCK, np.int64)])
+    del by
     known = np.array([i is not None for i in ids], bool)
     number = np.array([i or 0 for i in ids], np.int64)
-    keys = _keys(number, texts)
-    size, mine, opened = np.zeros(len(texts), np.int64), [], [Shard(x, distinct) for x in shards]
+    # a word is a phrase whether the reference has it or not; 0 is a match yet to be measured
+    jump, opened, deep, size = np.ones(len(row), np.int32), [Shard(x, row, text, number, known) for x in shards], [], np.zeros(len(texts), np.int64)
     for s in opened:
-        start = np.full(len(texts), -1, np.int64)
-        if len(s.owner):
-            at = np.minimum(np.searchsorted(s.owner, number), len(s.owner) - 1)
-            here = known & (s.owner[at] == number)
-            size[here] += s.words[at[here]]
-            start[here] = s.start[np.searchsorted(s.key, keys[here])]
-        mine.append(start)
-    jump = np.zeros(len(words), np.int32)
-    text = np.repeat(np.arange(len(texts)), -(-length // STRIDE))
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(-(-length // STRIDE)) - -(-length // STRIDE), -(-length // STRIDE))
-    at = begin[text] + nth * STRIDE
+        size += s.size
+        two, three, lo, hi = s.pairs(places, key)
+        jump[two] = 2
+        sort = np.argsort(three)
+        deep.append((three[sort], lo[sort], hi[sort]))
+        del two, three, lo, hi, sort
+    del places, key
+    for three, _, _ in deep:
+        jump[three] = 0
+    walkers = -(-length // STRIDE)
+    of = np.repeat(np.arange(len(texts)), walkers)
+    at = begin[of] + (np.arange(len(of)) - np.repeat(np.cumsum(walkers) - walkers, walkers)) * STRIDE
+    seen = np.zeros(len(row), bool)
     while len(at):
-        most = np.zeros(len(at), np.int64)
-        for s, start in zip(opened, mine):
-            own = start[text] >= 0
-            i, j = np.flatnonzero(own), np.flatnonzero(~own)
-            if len(i):
-                most[i] = np.maximum(most[i], s.own(words, at[i], start[text[i]] + at[i] - begin[text[i]]))
-            if len(j):
-                most[j] = np.maximum(most[j], s.match(words, at[j]))
-        jump[at] = np.maximum(most, 1)
+        seen[at] = True
+        new = at[jump[at] == 0]
+        most = np.zeros(len(new), np.int64)
+        for s, (three, lo, hi) in zip(opened, deep):
+            if len(three) and len(new):
+                k = np.minimum(np.searchsorted(three, new), len(three) - 1)
+                i = np.flatnonzero(three[k] == new)
+                most[i] = np.maximum(most[i], s.match(new[i], lo[k[i]], hi[k[i]]))
+        jump[new] = most
         at = at + jump[at]
-        at, first = np.unique(at, return_index=True)
-        text = text[first]
-        go = (at < begin[text] + length[text]) & (jump[at] == 0)
-        at, text = at[go], text[go]
+        # a place behind the last word is a 0; two walkers that meet go on as one
+        at = at[(row[at] != 0) & ~seen[at]]
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) and (at[1:] >= at[:-1]).all() else np.unique(at)
     phrases = []
     for b, n in zip(begin.tolist(), length.tolist()):
         step, p, c = jump[b : b + n].tolist(), 0, 0
@@ -374,52 +420,135 @@ def parsed(texts: list[np.ndarray], ids: list, shards: list[dict[str, np.ndarray
     return phrases, size.tolist()
 
 
-def _tokens(batches):
+def _put(folder: str, kind: str, a: np.ndarray, first: int) -> None:
+    """Writes ``a`` into the file of its kind from item ``first`` on; where files can't be shared so, into one of its own. Doing it twice changes nothing."""
+    files, path = FileSystem.from_uri(folder)
+    a = np.ascontiguousarray(a)
+    if not isinstance(files, LocalFileSystem):
+        with files.open_output_stream(f"{path}/{kind}-{first:020d}") as f:
+            f.write(a)
+        return
+    f, rest, to = os.open(f"{path}/{kind}", os.O_WRONLY | os.O_CREAT, 0o644), memoryview(a.view(np.uint8)), first * a.itemsize
+    try:
+        while len(rest):
+            n = os.pwrite(f, rest[: 1 << 28], to)
+            rest, to = rest[n:], to + n
+    finally:
+        os.close(f)
+
+
+def _read(folder: str, kind: str, dtype: str, whole: bool = False) -> np.ndarray:
+    """A file, mapped where the shared folder is mounted, else read; ``whole``: all that ``_put`` has written."""
+    files, path = FileSystem.from_uri(folder)
+    if isinstance(files, LocalFileSystem):
+        at = f"{path}/{kind}"
+        return np.asarray(np.memmap(at, dtype, "r")) if os.path.getsize(at) else np.empty(0, dtype)
+    names = sorted(x.path for x in files.get_file_info(FileSelector(path)) if x.base_name.startswith(f"{kind}-")) if whole else [f"{path}/{kind}"]
+    parts = []
+    for name in names:
+        with files.open_input_file(name) as f:
+            parts.append(np.frombuffer(f.read(), dtype))
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
+def _opened(folder: str, kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    return {k: _read(folder, k, t, True) for k, t in kinds.items()}
+
+
+_WRITTEN = pa.schema([("name", pa.string()), ("n", pa.int64()), ("texts", pa.int64()), ("counts", pa.list_(pa.int64()))])
+
+
+def _words(batches):
+    """(id, words, codes) of every row, slice by slice."""
     for b in batches:
+        ids = b.column(0).to_pylist()
         for i, j, texts in C.text_slices(b.column(1)):
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([codes(words_of(t)).tobytes() for t in texts], pa.binary()), b.column(2)[i:j]], names=["doc_id", "words", "shard"])
+            words = [words_of(t) for t in texts]
+            del texts
+            yield list(zip(ids[i:j], words, _coded(words)))
 
 
-_BUILT = pa.schema([("name", pa.string()), ("n", pa.int64())])
+def _writing(folder: str, pieces: int, most: int):
+    """Writes the texts of a partition in parts of about ``most`` words, each with its pairs dealt to the pieces."""
 
-
-def _building(folder: str):
-    def build(table: pa.Table) -> pa.Table:
-        texts = [np.frombuffer(w.as_buffer(), np.int64) for w in table["words"]]
-        owners = table["doc_id"].to_numpy().astype(np.int64)
-        del table
+    def part(held: list) -> pa.RecordBatch:
         # the name is this attempt's own; the driver uses those of attempts that came to an end
-        name, total = uuid.uuid4().hex, sum(map(len, texts))
+        name = uuid.uuid4().hex
         files, path = FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        arrays = index(texts, owners)
-        while arrays:
-            kind, a = arrays.popitem()
-            with files.open_output_stream(f"{path}/{name}-{kind}") as f:
-                f.write(a)
+        row, start = _joined([x[1] for x in held])
+        at, key = _pairs(row)
+        piece = _piece(key, pieces)
+        del key
+        counts = np.bincount(piece, minlength=pieces)
+        arrays = {"text": row, "start": start, "owner": np.array([x[0] for x in held], np.int64), "at": at[np.argsort(piece, kind="stable")].astype(np.int32)}
+        for kind, a in arrays.items():
+            with files.open_output_stream(f"{path}/part-{name}-{kind}") as f:
+                f.write(np.ascontiguousarray(a))
         C._trim()
-        return pa.table({"name": [name], "n": pa.array([total], pa.int64())}, schema=_BUILT)
+        return pa.RecordBatch.from_pylist([{"name": name, "n": len(row), "texts": len(start), "counts": counts.tolist()}], schema=_WRITTEN)
 
-    return build
+    def f(batches):
+        held, n = [], 0
+        for rows in _words(batches):
+            for i, _, t in rows:
+                held.append((i, t))
+                n += len(t) + 1
+                if n >= most:
+                    yield part(held)
+                    held, n = [], 0
+            del rows
+        if held:
+            yield part(held)
 
+    return f
 
-def _opened(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a shard, mapped where the shared folder is mounted, else read."""
-    files, path = FileSystem.from_uri(folder)
-    out = {}
-    for kind, t in _KINDS.items():
-        at = f"{path}/{name}-{kind}"
-        if isinstance(files, LocalFileSystem):
-            out[kind] = np.memmap(at, t, "r") if os.path.getsize(at) else np.empty(0, t)
-        else:
-            with files.open_input_file(at) as f:
-                out[kind] = np.frombuffer(f.read(), t)
-    return out
 
+def _laying(folder: str, parts: list[tuple]):
+    """Lays the parts of the text behind one another."""
 
-def _against(folder: str, names: list[str], size: int, most: int):
+    def f(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                name, base, first, last = parts[k]
+                _put(folder, "text", _read(folder, f"part-{name}-text", "i8"), base)
+                _put(folder, "start", _read(folder, f"part-{name}-start", "i8") + base, first)
+                _put(folder, "owner", _read(folder, f"part-{name}-owner", "i8"), first)
+                if last:
+                    _put(folder, "text", np.zeros(_BLOCK, np.int64), last)
+            yield b
+
+    return f
+
+
+def _sorting(folder: str, parts: list[tuple], counts: np.ndarray, place: str, size: int):
+    """Sorts pieces of the index, each the suffixes of a range of keys."""
+    ends = np.cumsum(counts, axis=1)
+    slot = np.concatenate([[0], np.cumsum(counts.sum(0))])
+
+    def f(batches):
+        text, start, owner = (_read(folder, k, "i8", True) for k in ("text", "start", "owner"))
+        for b in batches:
+            for q in b.column(0).to_pylist():
+                at = [_read(folder, f"part-{p[0]}-at", "i4")[e[q] - c[q] : e[q]].astype(place) + p[1] for p, e, c in zip(parts, ends, counts)]
+                at = np.concatenate(at)
+                order, key = suffixes(text, at, _key(text[at], text[at + 1]))
+                _put(folder, "key", key, slot[q])
+                _put(folder, "order", order.astype(place), slot[q])
+                _put(folder, "next", (_next(owner[np.searchsorted(start, order, "right") - 1]) + slot[q]).astype(place), slot[q])
+                if q == 0:
+                    for kind, a in zip(("who", "words"), _sizes(start, owner, size)):
+                        _put(folder, kind, a, 0)
+                del at, order, key
+                C._trim()
+            yield b
+
+    return f
+
+
+def _against(folder: str, kinds: dict[str, str], size: int, most: int):
     def scored(held: list[tuple]) -> pa.RecordBatch:
-        phrases, own_size = parsed([x[1] for x in held], [x[0] for x in held], [_opened(folder, n) for n in names])
+        phrases, own_size = parsed([x[1] for x in held], [x[0] for x in held], [_opened(folder, kinds)] if size else [])
         rows = []
         for (i, t, own), c, mine in zip(held, phrases, own_size):
             n, reference = len(t), size - mine
@@ -430,16 +559,14 @@ def _against(folder: str, names: list[str], size: int, most: int):
 
     def f(batches):
         held, n = [], 0
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for i, _, texts in C.text_slices(b.column(1)):
-                for k, t in enumerate(texts, i):
-                    words = words_of(t)
-                    held.append((ids[k], codes(words), own_phrases(words)))
-                    n += len(words) + 1
-                    if n >= most:
-                        yield scored(held)
-                        held, n = [], 0
+        for rows in _words(batches):
+            for i, words, t in rows:
+                held.append((i, t, own_phrases(words)))
+                n += len(t) + 1
+                if n >= most:
+                    yield scored(held)
+                    held, n = [], 0
+            del rows
         if held:
             yield scored(held)
 
@@ -451,13 +578,24 @@ _COLUMNS = "doc_id long, n_words long, n_phrases long, reference_words long, cro
 
 def _whole(rows: DataFrame, reference: DataFrame, chars: int, shard_chars: int, task_words: int) -> DataFrame:
     spark = rows.sparkSession
-    shards = max(1, math.ceil(chars / shard_chars))
+    pieces = max(1, math.ceil(chars / shard_chars)) * PIECES
     folder = re.sub("^file:/+", "file:///", f"{C.checkpoint_dir(spark)}/reference-{uuid.uuid4().hex}")
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int").alias("shard")
-    dealt = reference.select("doc_id", "text", shard).mapInArrow(_tokens, "doc_id long, words binary, shard int")
-    # a row for each shard comes back
-    built = dealt.groupBy("shard").applyInArrow(_building(folder), "name string, n long").collect()
-    return rows.mapInArrow(_against(folder, [r["name"] for r in built], sum(r["n"] for r in built), task_words), _COLUMNS)
+    # a row for each part of the text comes back
+    written = sorted(reference.select("doc_id", "text").mapInArrow(_writing(folder, pieces, task_words), "name string, n long, texts long, counts array<long>").collect())
+    total, words = sum(r["n"] for r in written), sum(r["n"] - r["texts"] for r in written)
+    place = "i4" if total < 2**31 - _BLOCK else "i8"
+    kinds = _KINDS | {"order": place, "next": place}
+    if words:
+        bases, firsts = (np.concatenate([[0], np.cumsum([r[k] for r in written])]).tolist() for k in ("n", "texts"))
+        parts = [(r["name"], bases[k], firsts[k], total if k == len(written) - 1 else 0) for k, r in enumerate(written)]
+        counts = np.array([r["counts"] for r in written], np.int64)
+        each = lambda n, f: spark.range(0, n, 1, n).mapInArrow(f, "id long").count()
+        drop = lambda *kinds: [C.delete(spark, f"{folder}/part-{p[0]}-{k}") for p in parts for k in kinds]
+        each(len(parts), _laying(folder, parts))
+        drop("text", "start", "owner")
+        each(pieces, _sorting(folder, parts, counts, place, total))
+        drop("at")
+    return rows.mapInArrow(_against(folder, kinds, words, task_words), _COLUMNS)
 
 
 def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int | None = None, block_text: int = BLOCK_TEXT, shard_chars: int = SHARD_CHARS, task_words: int = TASK_WORDS) -> DataFrame:
@@ -480,7 +618,8 @@ def scores(docs: DataFrame, labels: DataFrame | None = None, block_chars: int |
     if not chars:
         good, chars = rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), total
     if block_chars is None:
-        return _whole(rows, rows.join(good, "doc_id", "left_semi"), chars, shard_chars, task_words)
+        # the ids grow with the corpus: they are shuffled at every size
+        return _whole(rows, rows.join(good.hint("merge"), "doc_id", "left_semi"), chars, shard_chars, task_words)
     blocks = max(1, math.ceil(chars / block_chars), math.ceil(total / block_text))
     mix = lambda x: F.xxhash64(x, F.lit(SEED))
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit(""))

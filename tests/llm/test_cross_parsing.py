@@ -139,3 +139,70 @@ def test_every_document_meets_the_whole_reference(spark):
     for i in sorted(plain)[::20]:
         reference = [plain[j] for j in good if j != i]
         assert (one[i]["n_words"], one[i]["reference_words"], one[i]["n_phrases"]) == (len(plain[i]), sum(map(len, reference)), X.cross_phrases(X.automaton(reference), plain[i]))
+
+
+def test_one_index_whatever_the_pieces(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    import numpy as np
+
+    from arraysail.llm import _common as C
+
+    docs, labels = common.table(spark, "documents"), common.table(spark, "labels")
+    root = Path(urlparse(C.checkpoint_dir(spark)).path)
+    before = set(root.glob("reference-*"))
+    X.scores(docs, labels, shard_chars=20_000, task_words=5_000).collect()
+    (folder,) = set(root.glob("reference-*")) - before
+    # one file of each kind, so that a batch of documents is searched once and not once for each shard
+    assert {p.name for p in folder.iterdir()} == {"text", "start", "owner", "who", "words", "key", "order", "next"}
+    got = {k: np.fromfile(folder / k, "i4" if k in ("order", "next") else t) for k, t in X._KINDS.items()}
+    plain = {r["doc_id"]: X.words_of(r["text"] or "") for r in docs.collect()}
+    good = sorted(r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0)
+    good = [i for i in good if i in plain]
+    one = X.index([X.codes(plain[i]) for i in good], np.array(good, np.int64))
+    assert (got["key"] == one["key"]).all() and (got["who"] == one["who"]).all() and (got["words"] == one["words"]).all()
+
+    def suffixes(x):
+        ends = np.append(x["start"][1:], len(x["text"]) - X._BLOCK)
+        whose = np.searchsorted(x["start"], x["order"], "right") - 1
+        return [tuple(x["text"][a : ends[w]]) for a, w in zip(x["order"][::50].tolist(), whose[::50])]
+
+    assert suffixes(got) == suffixes(one)
+
+
+def test_a_text_is_not_compared_with_itself_to_its_end(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(20)}" for _ in range(20_000)], [f"w{rng.randrange(20)}" for _ in range(20_000)]]
+    built = X.index([X.codes(w) for w in texts], np.array([1, 2]))
+    compared, same = [], X._same
+
+    def counted(*a):
+        out = same(*a)
+        compared.append(int(out.sum()))
+        return out
+
+    monkeypatch.setattr(X, "_same", counted)
+    phrases, _ = X.parsed([X.codes(w) for w in texts], [1, 2], [built])
+    assert phrases == [X.cross_phrases(X.automaton([texts[1 - k]]), texts[k]) for k in (0, 1)]
+    assert sum(compared) < 100 * 40_000
+
+
+def test_shared_words_of_pairs_in_copies_and_elsewhere(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    text = rng.integers(1, 4, 6000)
+    text[4000:6000] = text[1000:3000]
+    text[[1500, 4700, 5999]] = 9, 8, 0
+    text = np.concatenate([text, np.zeros(X._BLOCK, np.int64)])
+    a = np.concatenate([np.arange(4000, 6000), rng.integers(0, 6000, 500)])
+    b = np.concatenate([np.arange(1000, 3000), rng.integers(0, 6000, 500)])
+    a, b = a[a != b], b[a != b]
+    want, compared, same = X._same(text, a, text, b), [], X._same
+    monkeypatch.setattr(X, "_same", lambda *x: compared.append(len(x[1])) or same(*x))
+    assert (X._shared(text, a, b) == want).all()
+    # the copy is measured a few times and not at each of its places
+    assert sum(compared) < 600
