@@ -17,12 +17,15 @@ from arraysail.operators import windows as W
 
 
 def presentations(metadata: DataFrame, stimulus: str, repetitions: Sequence[str], per_session: int = 750) -> DataFrame:
-    """(stimulus, session, trial, presentation, repetition, run) from wide trial numbers, 0 for none (DS01)."""
+    """(stimulus, session, trial, presentation, repetition, run) from wide trial numbers, 0 for none (DS01).
+
+    Repetitions follow the presentations, also where a stimulus has a trial number twice.
+    """
     trials = X.nonzero(metadata, [stimulus], repetitions, "rep", "number")
     session, trial = L.div_mod("number", per_session)
     p = trials.select(F.col(stimulus).alias("stimulus"), session.alias("session"), trial.alias("trial"))
     p = W.global_position(p, (F.col("session") * per_session + F.col("trial")).cast("double"), "presentation", ["stimulus"])
-    p = W.occurrence(p, ["stimulus"], ["session", "trial"])
+    p = W.occurrence(p, ["stimulus"], ["session", "trial", "presentation"])
     return p.withColumn("run", L.run_label("trial"))
 
 

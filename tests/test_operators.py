@@ -230,6 +230,8 @@ def test_dataset_flows(spark):
     wide = spark.createDataFrame([(10, 1, 760), (11, 2, 0), (12, 3, 64)], "stimulus int, rep0 int, rep1 int")
     p = {(r["session"], r["trial"]): (r["stimulus"], r["repetition"], r["presentation"], r["run"]) for r in D.presentations(wide, "stimulus", ["rep0", "rep1"]).collect()}
     assert p == {(0, 0): (10, 0, 0, 0), (0, 1): (11, 0, 1, 0), (0, 2): (12, 0, 2, 0), (0, 63): (12, 1, 3, 1), (1, 9): (10, 1, 4, 0)}
+    twice = spark.createDataFrame([(f"s{i}", i + 1, i + 1) for i in range(3)], "stimulus string, rep0 int, rep1 int")
+    assert values(D.presentations(twice, "stimulus", ["rep0", "rep1"]), "presentation", "repetition") == [(i, i % 2) for i in range(6)]
     cells = spark.createDataFrame([(s, n, float(s * n + t)) for s in (0, 1) for n in (1, 2, 3) for t in (0, 1)], "session int, neuroid int, value double")
     mask = spark.createDataFrame([(1, True), (2, True), (3, False)], "neuroid int, ok boolean")
     assert sorted(r["value"] for r in D.betas(cells, [(mask, ["neuroid"], "ok")]).collect()) == [-1.0] * 4 + [1.0] * 4
