@@ -1,12 +1,14 @@
 """Guards, error paths and cases that the query catalogue doesn't reach."""
 
 import math
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arraysail.errors import LabelError, MissingValueError
+from arraysail.functions import filters as G
 from arraysail.functions import scalar as S
 from arraysail.operators import aggregates as A
 from arraysail.operators import joins as J
@@ -226,6 +228,17 @@ def test_sparse_projection_keeps_norms_on_average(spark):
     assert n == pytest.approx(200, rel=0.25)
 
 
+def test_filter_banks_are_no_joins_of_axes(spark):
+    bank = G.curved_filters(spark, 3, (0.0, 0.2), (5, 7), (1.2,), 3)
+    assert bank.columns == ["curvature", "size", "theta", "frequency", "row", "col", "value"]
+    want = sorted(product((0.0, 0.2), (5.0, 7.0), [2 * math.pi * i / 3 for i in range(3)], (1.2,), range(3), range(3)))
+    assert values(bank, *bank.columns[:-1]) == want
+    assert values(G.random_filters(spark, 2, 3, 4), "output", "input", "row", "col") == sorted(product(range(2), range(3), range(4), range(4)))
+    assert G.curved_filters(spark, 3, ()).count() == 0
+    for f in (bank, G.random_filters(spark, 2, 3, 4)):
+        assert not any(x in f._jdf.queryExecution().toString() for x in ("CartesianProduct", "NestedLoopJoin"))
+
+
 def test_dataset_flows(spark):
     wide = spark.createDataFrame([(10, 1, 760), (11, 2, 0), (12, 3, 64)], "stimulus int, rep0 int, rep1 int")
     p = {(r["session"], r["trial"]): (r["stimulus"], r["repetition"], r["presentation"], r["run"]) for r in D.presentations(wide, "stimulus", ["rep0", "rep1"]).collect()}
