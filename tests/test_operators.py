@@ -4,9 +4,11 @@ import math
 from itertools import product
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from arraysail import queries as core
 from arraysail.errors import LabelError, MissingValueError
 from arraysail.functions import filters as G
 from arraysail.functions import scalar as S
@@ -239,6 +241,44 @@ def test_filter_banks_are_no_joins_of_axes(spark):
         assert not any(x in f._jdf.queryExecution().toString() for x in ("CartesianProduct", "NestedLoopJoin"))
 
 
+def test_first_of_ranks_only_around_the_cut(spark, monkeypatch):
+    df = spark.range(900).select("id", F.when(F.col("id") < 800, F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("first")).union(spark.createDataFrame([(900 + i, 7, 0) for i in range(5)], "id long, g long, first long"))
+    df = df.union(df.where("id < 300"))  # keys that come up twice
+    h = F.md5(F.concat_ws("-", "g", "id"))
+    for n in (lambda c: F.floor(c * F.lit(0.4)), lambda c: F.lit(0), lambda c: F.lit(1), lambda c: c, lambda c: F.lit(10_000)):
+        want = values(P.first_of(df, ["g"], h, ["id"], n).withColumn("k", F.hash("id", "g")), "k", "first")
+        assert len(want) == 1205
+        with monkeypatch.context() as m:
+            m.setattr(P, "MOST_IN_TASK", 100)
+            got = P.first_of(df, ["g"], h, ["id"], n)
+            assert got.columns == ["id", "g", "first"] and values(got.withColumn("k", F.hash("id", "g")), "k", "first") == want
+
+
+def rows_ranked(df) -> int:
+    """Rows that are shuffled to the windows of a query."""
+    df.collect()
+
+    def below(p):
+        kind = p.getClass().getSimpleName()
+        kids = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        yield kind, p
+        for k in kids:
+            yield from below(k)
+
+    windows = [p for kind, p in below(df._jdf.queryExecution().executedPlan()) if kind == "WindowExec"]
+    assert windows
+    return sum(next(p for kind, p in below(w) if kind == "ShuffleExchangeExec").metrics().apply("shuffleRecordsWritten").value() for w in windows)
+
+
+@pytest.mark.parametrize(("name", "rows"), [("permutation_p", 150_000), ("subsample", 1_500)])
+def test_draws_over_many_rows_rank_few_of_them(spark, monkeypatch, name, rows):
+    monkeypatch.setattr(P, "MOST_IN_TASK", 100, raising=False)
+    folder = "/root/testdata/sf0.01"
+    df = core.QUERIES[name](spark, folder)
+    assert 0 < rows_ranked(df) < rows / 50
+    assert oracle.difference(core.QUERIES[name](spark, folder), oracle.connect(folder), core.SQL[name]) == ""
+
+
 def test_dataset_flows(spark):
     wide = spark.createDataFrame([(10, 1, 760), (11, 2, 0), (12, 3, 64)], "stimulus int, rep0 int, rep1 int")
     p = {(r["session"], r["trial"]): (r["stimulus"], r["repetition"], r["presentation"], r["run"]) for r in D.presentations(wide, "stimulus", ["rep0", "rep1"]).collect()}
